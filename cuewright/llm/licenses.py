@@ -1,11 +1,10 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
-The index holds, for each word of the licence templates, the templates and positions where it stands.
-How many documents hold each licence word is counted over the whole corpus. Of each file, the ANCHORS
-licence words that are rarest in the corpus are looked up in the index; each posting gives a template
-and the position where that template would begin, postings that agree are one candidate, and a
-candidate is verified against the whole template: the share of its words in place, and all of its key
-phrase. A template found with a share of COVER or more gives its label.
+How many documents hold each licence word is counted over the whole corpus. Of each template's key
+phrase, which is mandatory, the word of highest IDF goes into the index with its positions. Each file's
+indexed words give a template and the position where it would begin, postings that agree are one
+candidate, and a candidate is verified against the whole template: the share of its words in place,
+and all of its key phrase. A template found with a share of COVER or more gives its label.
 
 Beside that stand the base phrases, found by their words in sequence. One projection does it all: no
 join and no shuffle but the count of licence words. Defined results: null text counts as empty; no
@@ -14,14 +13,12 @@ words give zero counts, null places, empty labels and score 0. Repeated rows are
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import read
 
-ANCHORS, COVER = 8, 0.8
+COVER = 0.8
 #: Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Fixed values: (label, template, key phrase) in the licences' public wording, lower-cased words only.
@@ -81,22 +78,23 @@ def document_counts(docs: DataFrame) -> dict[str, int]:
 def scan(docs: DataFrame, counts: dict[str, int]) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score and matches."""
     out = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
-    by_rarity = sorted(vocabulary(), key=lambda w: (counts.get(w, 0), w))
-    postings: dict[str, list[dict]] = {}
+    lit_array = lambda values: F.array(*[F.lit(v) for v in values])  # noqa: E731  folded once, not made for each row
+    postings: dict[str, list[Column]] = {}
     table = []
     for k, (label, text, key) in enumerate(TEMPLATES):
         words, need = text.split(), key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(need)] == need)
-        table.append({"label": label, "words": words, "key_at": at, "key_n": len(need)})
-        for p, w in enumerate(words):
-            postings.setdefault(w, []).append({"t": k, "p": p})
-    # every template's rarest words and those of the base phrases; a text without any of them has no match
-    rare = {min(t["words"], key=by_rarity.index) for t in table}
-    rare |= {min(t["words"][t["key_at"] : t["key_at"] + t["key_n"]], key=by_rarity.index) for t in table} | {"license"}
-    literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+        table.append(F.struct(F.lit(label).alias("label"), lit_array(words).alias("words"), F.lit(at).alias("key_at"), F.lit(len(need)).alias("key_n")))
+        rarest = min(need, key=lambda w: (counts.get(w, 0), w))
+        for p in range(at, at + len(need)):
+            if words[p] == rarest:
+                postings.setdefault(rarest, []).append(F.struct(F.lit(k).alias("t"), F.lit(p).alias("p")))
+    rare = sorted({*postings, "license"})  # a text without any of these has no match and no base phrase
+    index = F.create_map(*[x for w, ps in sorted(postings.items()) for x in (F.lit(w), F.array(*ps))])
+    templates = F.array(*table)
     df = docs.drop(*out).withColumn("_words", _words("text"))
     df = df.withColumn("n_words", F.when(F.col("_words")[0] == "", F.lit(0)).otherwise(F.size("_words")).cast("bigint"))
-    df = df.withColumn("_words", F.when(F.arrays_overlap("_words", F.array(*[F.lit(w) for w in sorted(rare)])), F.col("_words")).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("_words", F.when(F.arrays_overlap("_words", lit_array(rare)), F.col("_words")).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("_at", F.when(F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1)).otherwise(F.array().cast("array<int>")))
     word = lambda i: F.get("_words", i)  # noqa: E731  null outside
     places = []
@@ -104,12 +102,10 @@ def scan(docs: DataFrame, counts: dict[str, int]) -> DataFrame:
         own = phrase.split()
         places.append((label, F.filter("_at", _starts_here(own, word))))
     df = df.withColumns({f"_{label}": p for label, p in places})
-    # the file's rarest licence words, their postings, and where each template would begin
-    df = df.withColumn("_anchors", F.slice(F.array_intersect(F.array(*[F.lit(w) for w in by_rarity]), "_words"), 1, ANCHORS))
-    index = literal(postings, "map<string,array<struct<t:int,p:int>>>")
-    starts = F.flatten(F.transform(F.filter("_at", lambda i: F.array_contains("_anchors", word(i))), lambda i: F.transform(F.element_at(index, word(i)), lambda x: F.struct(x["t"].alias("t"), (i - x["p"]).alias("start")))))
+    # where each template would begin, by the places of its rarest key word
+    indexed = F.filter("_at", lambda i: F.coalesce(word(i).isin(*postings), F.lit(False)))
+    starts = F.flatten(F.transform(indexed, lambda i: F.transform(F.element_at(index, word(i)), lambda x: F.struct(x["t"].alias("t"), (i - x["p"]).alias("start")))))
     df = df.withColumn("_starts", F.array_distinct(F.filter(starts, lambda x: x["start"] >= 0)))
-    templates = literal(table, "array<struct<label:string,words:array<string>,key_at:int,key_n:int>>")
 
     def verified(x: Column) -> Column:
         own = F.get(templates, x["t"])
