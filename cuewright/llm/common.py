@@ -86,6 +86,14 @@ def word_hashes(text: bytes) -> np.ndarray:
     return mix((total[ends] - total[starts]) * inverse[starts])
 
 
+def windows(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` words."""
+    out = words[: len(words) - width + 1] * _PRIME
+    for i in range(1, width):
+        out = (out + words[i : len(words) - width + 1 + i]) * _PRIME
+    return mix(out)
+
+
 def shingles(text: str | None, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; with fewer words, of the whole sequence."""
     words = word_hashes((text or "").encode("utf-8", "replace").lower())
@@ -93,10 +101,7 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     if not n:
         return words
     width = min(k, n)
-    out = np.zeros(n - width + 1, U64)
-    for i in range(width):
-        out = mix(out ^ words[i : n - width + 1 + i])
-    return np.unique(out)
+    return np.unique(windows(words, width))
 
 
 def bits_for(n: int, per_bucket: int = 100_000) -> int:

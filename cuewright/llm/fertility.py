@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, cut, mix, word_hashes
+from .common import cut, windows, word_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPREAD, MIN_GROUP = 3.0, 30
@@ -52,9 +52,12 @@ def base_counts(text: str) -> tuple[int, ...]:
     n = len(words)
     covered = 0
     if n >= 4:
-        tri = mix(mix(words[:-2]) + words[1:-1] * U64(7)) ^ mix(words[2:] + U64(9))
-        _, back, times = np.unique(tri, return_inverse=True, return_counts=True)
-        again = np.concatenate(([False, False], times[back] > 1, [False, False]))
+        tri = windows(words, 3)
+        order = np.argsort(tri)
+        same = np.diff(tri[order].view(np.int64)) == 0
+        twice = np.zeros(len(tri), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        again = np.concatenate(([False, False], twice, [False, False]))
         covered = int((again[2:] | again[1:-1] | again[:-2]).sum())
     return n, len(text) - int(hist[_SPACES].sum()), int(hist[_SYMBOLS].sum()), len(lines) - len(set(lines)), covered
 

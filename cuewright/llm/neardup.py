@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import U64, cut, mix, shingles
 from .components import components
 
-SLOTS, BANDS, ROWS, SEEDS = 128, 32, 4, 2
+SLOTS, BANDS, ROWS = 128, 32, 4
 MIN_AGREE = 0.56
 SHARE = 75
 BLOCK = 1024
@@ -34,52 +34,60 @@ BLOCK = 1024
 BROADCAST_ROWS = 1_000_000
 
 
-def signature(items: np.ndarray) -> np.ndarray:
-    """SLOTS values, step << 56 | random: the least over all items."""
-    m, out = SLOTS, np.full(SLOTS, np.iinfo(np.int64).max, np.int64)
-    if not len(items):
-        return out
-    rows = np.arange(len(items))
-    order = None
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of SLOTS values for each set, step << 56 | random: the least over the set's items.
+
+    The items of all sets take a step together; a set leaves when its signature cannot change any more.
+    """
+    m = SLOTS
+    out = np.full((len(sets), m), np.iinfo(np.int64).max, np.int64)
+    flat = out.reshape(-1)
+    items, of = np.concatenate(sets or [np.zeros(0, U64)]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = first = second = None
     for step in range(m):
+        if not len(items):
+            break
         draw = mix(items + U64((2 * step + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
-        k = step + ((mix(draw) >> U64(32)) % U64(m - step)).astype(np.int64)
+        k = step + ((draw * U64(0x9E3779B97F4A7C15) >> U64(32)) % U64(m - step)).astype(np.int64)
+        rows = np.arange(len(items))
         if step == 0:
-            slot, first = k, k
+            slot = first = k
         elif step == 1:
-            slot = np.where(k == first, 0, k)
+            slot, second = np.where(k == first, 0, k), k
         else:
             if order is None:  # the two swaps so far, written out
                 order = np.tile(np.arange(m, dtype=np.int16), (len(items), 1))
                 order[rows, first], order[:, 0] = 0, first
-                order[rows, second], order[:, 1] = order[:, 1].copy(), order[rows, second].copy()
-            slot = order[rows, k].astype(np.int64)
+                order[rows, second], order[:, 1] = order[:, 1].copy(), order[rows, second]
+            slot = order[rows, k]
             order[rows, k] = order[:, step]
             order[:, step] = slot
-        if step == 1:
-            second = k
-        np.minimum.at(out, slot, (draw >> U64(8)).astype(np.int64) | step << 56)
-        if (out >> 56).max() <= step:
-            break
+        np.minimum.at(flat, of * m + slot, (draw >> U64(8)).astype(np.int64) | step << 56)
+        stay = ((out >> 56).max(1) > step)[of]
+        if not stay.all():
+            items, of = items[stay], of[stay]
+            order, first, second = (x if x is None else x[stay] for x in (order, first, second))
     return out
 
 
 def _describe(batches):
     for batch in batches:
-        ids, n, d1, d2, bands, sigs = [], [], [], [], [], []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            own = shingles(text)
-            sig = signature(own)
-            b = np.full(BANDS, 1, U64) * np.arange(1, BANDS + 1, dtype=U64)
-            for column in sig.reshape(BANDS, ROWS).T:
-                b = mix(b ^ column.astype(U64))
-            ids.append(doc)
-            n.append(len(own))
-            d1.append(int(mix(own).sum(dtype=U64).astype(np.int64)))
-            d2.append(int(mix(own ^ U64(0x5BD1E995)).sum(dtype=U64).astype(np.int64)))
-            bands.append(b.astype(np.int64))
-            sigs.append((sig ^ (sig >> 56)).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "n", "d1", "d2", "bands", "sig"])
+        docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        i = 0
+        while i < len(docs):
+            own, total, start = [], 0, i
+            while i < len(docs) and total < 60_000:
+                own.append(shingles(texts[i]))
+                total += len(own[-1])
+                i += 1
+            sig = signatures(own)
+            bands = np.tile(np.arange(1, BANDS + 1, dtype=U64), (len(own), 1))
+            for k in range(ROWS):
+                bands = mix(bands ^ sig.reshape(len(own), BANDS, ROWS)[:, :, k].astype(U64))
+            d1, d2 = (pa.array([int(f(s).sum(dtype=U64).astype(np.int64)) for s in own], pa.int64()) for f in (mix, lambda s: s * s))
+            narrow = (sig ^ (sig >> 56)).astype(np.uint8)
+            lists = pa.ListArray.from_arrays(np.arange(0, len(own) * BANDS + 1, BANDS, dtype=np.int32), pa.array(bands.astype(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(docs[start:i], pa.int64()), pa.array([len(s) for s in own], pa.int64()), d1, d2, lists, pa.array([r.tobytes() for r in narrow], pa.binary())], names=["doc_id", "n", "d1", "d2", "bands", "sig"])
 
 
 def _fits(a: str, b: str) -> str:
@@ -128,23 +136,43 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"))
 
 
-def _across(key, left, right=None):
-    """Likely pairs between different components in one block pair of a bucket."""
-    import pandas as pd
-
-    pdf = left
-    one = pdf["side"].to_numpy() == 0
-    x, y = pdf[one], pdf[~one] if not one.all() else pdf[one]
-    out = []
-    if len(x) and len(y):
-        sx, sy = (np.frombuffer(b"".join(d["sig"]), np.uint8).reshape(-1, SLOTS) for d in (x, y))
-        ix, iy, cx, cy, nx, ny = (d[c].to_numpy() for c in ("doc_id", "comp", "n") for d in (x, y))
-        for i in range(len(x)):
-            j = np.flatnonzero((cy != cx[i]) & (iy != ix[i]) & (100 * np.minimum(ny, nx[i]) >= SHARE * np.maximum(ny, nx[i])))
-            j = j[(sy[j] == sx[i]).mean(1) >= MIN_AGREE]
-            out.append((np.minimum(iy[j], ix[i]), np.maximum(iy[j], ix[i])))
-    a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-    return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+def _across(batches):
+    """Likely pairs between different components, for rows sorted by bucket and block pair.
+
+    A block pair (2 * BLOCK rows at most on average) is held at a time; its first block is compared
+    with its second, or with itself where it is one block.
+    """
+    names = ("bucket", "i", "j", "side", "doc_id", "comp", "n")
+
+    def pairs(side, doc, comp, n, sig):
+        two = side.any()
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1) if two else np.arange(len(side))
+        for i in x:
+            j = y[(comp[y] != comp[i]) & (doc[y] != doc[i]) & (100 * np.minimum(n[y], n[i]) >= SHARE * np.maximum(n[y], n[i]))]
+            if len(j):
+                j = j[(sig[j] == sig[i]).mean(1) >= MIN_AGREE]
+                yield np.minimum(doc[j], doc[i]), np.maximum(doc[j], doc[i])
+
+    def answer(cols, ends):
+        found, start = [], 0
+        for end in ends:
+            found += pairs(*(c[start:end] for c in cols[3:]))
+            start = end
+        both = np.unique(np.array([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy() for c in names] + [np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)]
+        held = cols if held is None else [np.concatenate((h, c)) for h, c in zip(held, cols, strict=True)]
+        ends = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
+        if len(ends):
+            yield answer(held, ends)
+            held = [h[ends[-1] :] for h in held]
+    if held is not None:
+        yield answer(held, [len(held[0])])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -168,7 +196,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = placed.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.hash("doc_id"), F.col("blocks")))
     dealt = blocks.select("doc_id", "n", "comp", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("doc_id", "n", "comp", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    found = dealt.join(reps.select("doc_id", "sig"), "doc_id").groupBy("bucket", "i", "j").applyInPandas(lambda key, pdf: _across(key, pdf), "a long, b long").distinct()
+    dealt = dealt.join(reps.select("doc_id", "sig"), "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    found = dealt.select("bucket", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "side", "doc_id", "comp", "n", "sig").mapInArrow(_across, "a long, b long").distinct()
     second = _links(docs, cut(found.join(tried, ["a", "b"], "left_anti")))
     labels = cut(components(first.unionByName(second)))
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("_c"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, crc_mod, cut, mix, word_hashes
+from .common import crc_mod, cut, windows, word_hashes
 
 N_STATS, FEATURES, PARTS, BINS = 16, 256, 16, 4096
 RIDGE, GAMMA = 1e-3, 0.04
@@ -34,7 +34,7 @@ def statistics(text: str | None) -> np.ndarray:
     size, words = max(1.0, hist.sum()), word_hashes(raw.lower())
     n = max(1, len(words))
     counts = np.unique(words, return_counts=True)[1] if len(words) else np.zeros(1)
-    tri = mix(words[:-2] * U64(3) + words[1:-1] * U64(7) + words[2:]) if len(words) > 2 else words[:0]
+    tri = windows(words, 3) if len(words) > 2 else words[:0]
     lines = [x for x in (text or "").split("\n") if x.strip()]
     upper, lower = hist[65:91].sum(), hist[97:123].sum()
     p = hist[hist > 0] / size
