@@ -8,9 +8,11 @@
 3. Banding: BANDS bands of ROWS slots. In every bucket all members are compared with one leader (drawn
    by hash, so another in each band), which is linear in the bucket.
 4. Verification: pairs whose signatures agree in too few slots go (MIN_AGREE lies more than four
-   standard deviations below 0.75), the others are decided on their full shingle sets.
-5. Union-find grouping. Buckets that still hold several components are then compared in full, in
-   blocks, between different components only; links found so are verified and grouped likewise.
+   standard deviations, measured as 0.028, below 0.75), the others are decided on full shingle sets.
+5. Union-find grouping. Buckets that still hold several components are then compared in blocks,
+   between different components only: at first each member with the NEAREST that agree most with it
+   (a hub joins its copies so), then, in what is still several components, every likely pair, on the
+   full sets inside the task, so that only links leave it.
 
 A pair at 0.75 shares a band but for a chance of 5e-6. Documents without words are linked with nothing.
 Null text counts as empty. Rows that repeat a doc_id are given back each. Extra columns are ignored.
@@ -18,6 +20,8 @@ Null text counts as empty. Rows that repeat a doc_id are given back each. Extra
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +31,10 @@ from .common import U64, cut, mix, shingles
 from .components import components
 
 SLOTS, BANDS, ROWS = 128, 32, 4
-MIN_AGREE = 0.56
+MIN_AGREE = 0.62
 SHARE = 75
 BLOCK = 1024
+NEAREST = 2
 #: Ids of candidate documents are broadcast up to this many rows (16 MB), and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
@@ -126,37 +131,72 @@ def _likely(reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a long, b long")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in ids."""
+    ids = cut(ids)
+    few = ids.count() <= BROADCAST_ROWS
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of the pairs, those with 100 * intersection >= 75 * union of full shingle sets."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = ids.count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = cut(texts)
+    texts = cut(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
     a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     return cut(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"))
 
 
-def _across(batches):
-    """Likely pairs between different components, for rows sorted by bucket and block pair.
-
-    A block pair (2 * BLOCK rows at most on average) is held at a time; its first block is compared
-    with its second, or with itself where it is one block.
-    """
+def _nearest(side, doc, comp, n, sig, sets):
+    """Of one block pair: each row's NEAREST likely partners in other components."""
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1) if side.any() else np.arange(len(side))
+    for i in x:
+        j, agree = _partners(i, y, doc, comp, n, sig)
+        if len(j) > NEAREST:
+            top = np.argpartition(-agree, NEAREST - 1)[:NEAREST]
+            j, agree = j[top], agree[top]
+        j = j[agree >= MIN_AGREE]
+        yield np.minimum(doc[j], doc[i]), np.maximum(doc[j], doc[i])
+
+
+def _partners(i, y, doc, comp, n, sig):
+    j = y[(comp[y] != comp[i]) & (doc[y] != doc[i]) & (100 * np.minimum(n[y], n[i]) >= SHARE * np.maximum(n[y], n[i]))]
+    return j, (sig[j] == sig[i]).mean(1)
+
+
+def _exact(side, doc, comp, n, sig, sets):
+    """Of one block pair: links of full shingle sets that join components, by union-find inside."""
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1) if side.any() else np.arange(len(side))
+    parent: dict[int, int] = {}
+    items: dict[int, np.ndarray] = {}
+
+    def root(c):
+        while (p := parent.get(c, c)) != c:
+            c = p
+        return c
+
+    def own(k):
+        if k not in items:
+            items[k] = np.frombuffer(sets[k], U64)
+        return items[k]
+
+    for i in x:
+        j, agree = _partners(i, y, doc, comp, n, sig)
+        for k in j[agree >= MIN_AGREE]:
+            a, b = root(comp[i]), root(comp[k])
+            if a != b:
+                shared = len(np.intersect1d(own(i), own(k), assume_unique=True))
+                if 100 * shared >= SHARE * (n[i] + n[k] - shared):
+                    parent[max(a, b)] = min(a, b)
+                    yield np.minimum(doc[[k]], doc[i]), np.maximum(doc[[k]], doc[i])
+
+
+def _across(batches, step):
+    """`step` over the block pairs of rows sorted by bucket and block pair; one is held at a time."""
     names = ("bucket", "i", "j", "side", "doc_id", "comp", "n")
 
-    def pairs(side, doc, comp, n, sig):
-        two = side.any()
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1) if two else np.arange(len(side))
-        for i in x:
-            j = y[(comp[y] != comp[i]) & (doc[y] != doc[i]) & (100 * np.minimum(n[y], n[i]) >= SHARE * np.maximum(n[y], n[i]))]
-            if len(j):
-                j = j[(sig[j] == sig[i]).mean(1) >= MIN_AGREE]
-                yield np.minimum(doc[j], doc[i]), np.maximum(doc[j], doc[i])
-
     def answer(cols, ends):
         found, start = [], 0
         for end in ends:
-            found += pairs(*(c[start:end] for c in cols[3:]))
+            found += step(*(c[start:end] for c in cols[3:]))
             start = end
         both = np.unique(np.array([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
@@ -165,7 +205,7 @@ def _across(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(c).to_numpy() for c in names] + [np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)]
+        cols = [batch.column(c).to_numpy() for c in names] + [np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS), np.array([*batch.column("items").to_pylist(), None], object)[:-1]]
         held = cols if held is None else [np.concatenate((h, c)) for h, c in zip(held, cols, strict=True)]
         ends = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
         if len(ends):
@@ -175,6 +215,27 @@ def _across(batches):
         yield answer(held, [len(held[0])])
 
 
+def _itemised(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "items"])
+
+
+def _blocks(reps: DataFrame, crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, dealt to block pairs."""
+    placed = crowded.where("size > 2").select("doc_id", "n", "bucket").join(labels, F.col("doc_id") == F.col("node"), "left")
+    placed = cut(placed.select("doc_id", "n", "bucket", F.coalesce("component", "doc_id").alias("comp")))
+    mixed = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "size")
+    blocks = placed.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.hash("doc_id"), F.col("blocks")))
+    dealt = blocks.select("doc_id", "n", "comp", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("doc_id", "n", "comp", "bucket", F.least("own", "other").cast("bigint").alias("i"), F.greatest("own", "other").cast("bigint").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return dealt.join(reps.select("doc_id", "sig"), "doc_id")
+
+
+def _swept(dealt: DataFrame, step) -> DataFrame:
+    rows = dealt.select("bucket", "i", "j", "side", "doc_id", "comp", "n", "sig", "items").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    return rows.mapInArrow(partial(_across, step=step), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -188,18 +249,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = crowded.where("doc_id <> lead").where(_fits("n", "lead_n")).select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
     tried = cut(_likely(reps, pairs))
     first = _links(docs, tried)
-    labels = components(first)
-    # buckets that still hold more than one component
-    placed = crowded.where("size > 2").select("doc_id", "n", "bucket").join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "bucket", F.coalesce("component", "doc_id").alias("comp"))
-    placed = cut(placed)
-    mixed = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "size")
-    blocks = placed.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.hash("doc_id"), F.col("blocks")))
-    dealt = blocks.select("doc_id", "n", "comp", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("doc_id", "n", "comp", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    dealt = dealt.join(reps.select("doc_id", "sig"), "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
-    found = dealt.select("bucket", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "side", "doc_id", "comp", "n", "sig").mapInArrow(_across, "a long, b long").distinct()
-    second = _links(docs, cut(found.join(tried, ["a", "b"], "left_anti")))
-    labels = cut(components(first.unionByName(second)))
+    near = _swept(_blocks(reps, crowded, components(first)).withColumn("items", F.lit(None).cast("binary")), _nearest)
+    found = first.unionByName(_links(docs, cut(near.join(tried, ["a", "b"], "left_anti"))))
+    rest = cut(_blocks(reps, crowded, components(found)))
+    sets = _texts(docs, rest.select("doc_id").distinct()).mapInArrow(_itemised, "doc_id long, items binary")
+    found = found.unionByName(cut(_swept(rest.join(sets, "doc_id"), _exact)))
+    labels = cut(components(found))
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("_c"))
     out = described.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
