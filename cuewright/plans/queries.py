@@ -224,7 +224,7 @@ QUERIES = {
     "j2_unmerged": (lambda s, d: intervals.shared(_padded(s, d), 8 * HOUR, merge=False).where("seconds >= 10.0"), "WITH " + TAPE + ", " + LONG + " SELECT a.id AS id_a, b.id AS id_b, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS seconds, count(*) AS parts, max(least(a.e, b.e) - greatest(a.s, b.s)) AS longest FROM lng a JOIN lng b ON a.id < b.id AND a.s < b.e AND b.s < a.e GROUP BY ALL HAVING sum(least(a.e, b.e) - greatest(a.s, b.s)) >= 10.0"),
     "j4_forbidden_ranges": (lambda s, d: intervals.without(_events(s, d).select(F.col("event").alias("id"), (F.col("t") - 60).alias("s"), (F.col("t") + 60).alias("e")), _tape(s, d).where("n >= 5").select("id", "s", "e"), HOUR).select("id"), "WITH " + TAPE + " SELECT event_id AS id FROM ev WHERE NOT EXISTS (SELECT 1 FROM tape f WHERE f.n >= 5 AND t - 60 < f.e AND f.s < t + 60)"),
     "j5_forbidden_phrases": (_phrases, "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
-    "j6_point_in_interval": (_locate, "WITH " + TAPE + ", o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s) AS k FROM tape), f AS (SELECT id AS ord, s, e FROM o WHERE k = 1), h AS (SELECT event_id AS p, ord, t - s AS "at", row_number() OVER (PARTITION BY event_id ORDER BY ord) AS r FROM ev JOIN f ON t >= s AND t <= e) SELECT p, ord, "at" FROM h WHERE r = 1"),
+    "j6_point_in_interval": (_locate, "WITH " + TAPE + ", o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s) AS k FROM tape), f AS (SELECT id AS ord, s, e FROM o WHERE k = 1), h AS (SELECT event_id AS p, ord, t - s AS \"at\", row_number() OVER (PARTITION BY event_id ORDER BY ord) AS r FROM ev JOIN f ON t >= s AND t <= e) SELECT p, ord, \"at\" FROM h WHERE r = 1"),
     "j12_keyword_prefix": (_prefix, "WITH a AS (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(p_name), '[a-z'']+')) AS a FROM part), b AS (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(p_type), '[a-z'']+')) AS b FROM part) SELECT p_partkey, a, b FROM a JOIN b USING (p_partkey) WHERE length(a) >= 4 AND length(b) >= 4 AND (starts_with(a, b) OR starts_with(b, a))"),
     "j13_carry_labels": (_carry, "SELECT lang, count(*) AS n, CAST(sum(coalesce(quality, 0)) AS BIGINT) AS good, count(*) FILTER (quality IS NULL) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang"),
     "j17_band_join": (_band, "WITH " + WORD + ' SELECT c.rec, c.e AS cut, count(*) FILTER ((t0 + t1) / 2 <= c.e) AS before, count(*) FILTER ((t0 + t1) / 2 > c.e) AS after FROM cues c JOIN words w ON c.rec = w.rec AND (t0 + t1) / 2 BETWEEN c.e - 20 AND c.e + 20 GROUP BY c.rec, c.e'),
