@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, fertility, langid, licenses, mixing, neardup, packing, quality, sharding, toxicity
+from . import ann, fertility, langid, licenses, mixing, neardup, oracle, packing, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -28,4 +28,4 @@ def pipeline(spark, sf_dir):
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
