@@ -104,7 +104,7 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(windows(words, width))
 
 
-def bits_for(n: int, per_bucket: int = 100_000) -> int:
+def bits_for(n: int, per_bucket: int = 10_000) -> int:
     return min(20, max(0, math.ceil(math.log2(max(1, n) / per_bucket))))
 
 
