@@ -69,26 +69,30 @@ def matrix(blocks: list[int], shards: int, seed: int) -> list[list[int]]:
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
-    """docs with shard int and slot long; a column of those names is replaced."""
+    """docs with size and text_crc32 of the text, shard int and slot long; columns of those names are replaced.
+
+    Placement needs the two digests alone, so what is not selected afterwards (the text, say) is pruned
+    from both exchanges.
+    """
     spark = docs.sparkSession
-    docs = docs.drop("shard", "slot").withColumn("_crc", F.crc32(F.coalesce("text", F.lit(""))))
+    text = F.coalesce("text", F.lit(""))
+    digests = {"size": (F.octet_length(text) + 1).cast("bigint"), "text_crc32": F.crc32(text)}
+    docs = docs.drop("shard", "slot", *digests).withColumns(digests)
     n = docs.count()
     n_blocks = max(1, -(-n // PER_BLOCK), min(32, n))
-    docs = docs.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_crc"), F.lit(n_blocks)))
+    docs = docs.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32"), F.lit(n_blocks)))
     sizes = {r[0]: r[1] for r in docs.groupBy("_block").count().collect()}  # n_blocks rows
     lines = matrix([sizes.get(b, 0) for b in range(n_blocks)], shards, seed)
     ends = [(b, [int(x) for x in np.cumsum(line)]) for b, line in enumerate(lines)]
     dealt = spark.createDataFrame(ends, "_b long, _ends array<long>")
-    local = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "_crc"), "doc_id", "_crc")
+    local = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "text_crc32"), "doc_id", "text_crc32")
     rows = docs.withColumn("_rank", F.row_number().over(local) - 1).join(dealt, F.col("_block") == F.col("_b"))
     rows = rows.withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))).cast("int")).drop("_b", "_ends", "_rank", "_block")
-    return gapless_rank(rows, ["shard"], F.xxhash64(F.lit(seed + 2), "doc_id", "_crc"), ["doc_id", "_crc"], n, "slot").drop("_crc")
+    return gapless_rank(rows, ["shard"], F.xxhash64(F.lit(seed + 2), "doc_id", "text_crc32"), ["doc_id", "text_crc32"], n, "slot")
 
 
 def query(spark, sf_dir):
     from .common import read
 
-    docs = read(spark, sf_dir, "documents")
-    text = F.coalesce("text", F.lit(""))
-    digest = shard(docs).withColumns({"size": (F.octet_length(text) + 1).cast("bigint"), "text_crc32": F.crc32(text), "law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
-    return digest.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    placed = shard(read(spark, sf_dir, "documents")).withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
