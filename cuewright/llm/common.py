@@ -108,6 +108,14 @@ def bits_for(n: int, per_bucket: int = 10_000) -> int:
     return min(20, max(0, math.ceil(math.log2(max(1, n) / per_bucket))))
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """`df` as the broadcast side of a join if it has at most so many (narrow) rows, and as it is beyond.
+
+    It is counted, so cut it first where it is not cheap.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def gapless_rank(df: DataFrame, group: list[str], key: Column, ties: list[str], n: int, out: str) -> DataFrame:
     """Add `out`: 0, 1, 2, ... within each group in the order of `key`, a uniform 64-bit long.
 
@@ -126,5 +134,5 @@ def gapless_rank(df: DataFrame, group: list[str], key: Column, ties: list[str],
     same = F.lit(True)
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    joined = ranked.join(offsets, same, "left")
+    joined = ranked.join(small(cut(offsets)), same, "left")
     return joined.withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint")).drop("_key", "_sub", "_rn", "_off", *[f"_g{i}" for i in range(len(by))])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod
+from .common import crc_mod, cut, small
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 4, 2.0
 MAX_TRAIN_ROWS = 1500
@@ -99,7 +99,7 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
     usable = docs.select("doc_id", "text", "lang").where((crc_mod("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = usable.groupBy("lang").agg(F.count("*").alias("_n"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000))
-    sample = usable.join(counts, "lang").where(draw * F.col("_n") < F.lit(max_rows * 1_000_000)).select("text", "lang")
+    sample = usable.join(small(cut(counts)), "lang").where(draw * F.col("_n") < F.lit(max_rows * 1_000_000)).select("text", "lang")
 
     def run(pdf):
         import pandas as pd

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bits_for, cut, gapless_rank
+from .common import cut, gapless_rank, small
 
 BLOCK, PERIOD, POWER = 16, 1000, 0.5
 
@@ -55,8 +55,17 @@ def schedule(shares_: DataFrame) -> DataFrame:
     return runs.withColumn("_nth", nth).join(ordered, "_i").select("_src", "share", "period", F.col("_nth").cast("bigint").alias("_nth"), F.col("_slot").cast("bigint").alias("_slot"))
 
 
-def mix(docs: DataFrame, group: str = "source", power: float = POWER, period: int = PERIOD, block: int = BLOCK, weights: DataFrame | None = None) -> DataFrame:
-    """docs with mix_block, mix_slot (its block's slot) and mix_position (gapless order of all rows).
+def _ties(docs: DataFrame) -> list[str]:
+    return ["doc_id"] + [c for c in ("text",) if c in docs.columns]
+
+
+def in_slot(docs: DataFrame) -> list:
+    """The order of the mix: by slot, and inside a slot by hash."""
+    return [F.col("mix_slot"), F.xxhash64("doc_id", F.lit("mix")), *[F.col(c) for c in _ties(docs)]]
+
+
+def slots(docs: DataFrame, group: str = "source", power: float = POWER, period: int = PERIOD, block: int = BLOCK, weights: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """docs with mix_block and mix_slot (its block's slot), and their number; rows are exchanged once.
 
     weights: _src, n and share as from shares(), if targets other than rows ** power are wanted.
     """
@@ -64,20 +73,24 @@ def mix(docs: DataFrame, group: str = "source", power: float = POWER, period: in
     parts = cut(weights if weights is not None else shares(docs, group, power, period))
     plan = cut(schedule(parts))  # a row for each slot of one period
     n = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    ties = ["doc_id"] + [c for c in ("text",) if c in docs.columns]
-    ranked = gapless_rank(docs, [group], F.xxhash64("doc_id", F.lit("mix")), ties, n, "_rank")
+    ranked = gapless_rank(docs, [group], F.xxhash64("doc_id", F.lit("mix")), _ties(docs), n, "_rank")
     ranked = ranked.withColumn("mix_block", F.floor(F.col("_rank") / block))
     at = parts.select(F.col("_src").alias("_s"), F.col("share").alias("_share"))
-    ranked = ranked.join(at, F.col(group).eqNullSafe(F.col("_s"))).drop("_s")
+    ranked = ranked.join(small(at), F.col(group).eqNullSafe(F.col("_s"))).drop("_s")
     ranked = ranked.withColumn("_turn", F.floor(F.col("mix_block") / F.col("_share"))).withColumn("_in", F.col("mix_block") % F.col("_share"))
-    placed = ranked.join(plan, F.col(group).eqNullSafe(F.col("_src")) & (F.col("_in") == F.col("_nth")))
+    placed = ranked.join(small(plan), F.col(group).eqNullSafe(F.col("_src")) & (F.col("_in") == F.col("_nth")))
     placed = placed.withColumn("mix_slot", F.col("_turn") * F.col("period") + F.col("_slot"))
-    placed = placed.drop("_share", "_turn", "_in", "_src", "share", "period", "_nth", "_slot", "_rank")
+    return placed.drop("_share", "_turn", "_in", "_src", "share", "period", "_nth", "_slot", "_rank"), n
+
+
+def mix(docs: DataFrame, group: str = "source", power: float = POWER, period: int = PERIOD, block: int = BLOCK, weights: DataFrame | None = None) -> DataFrame:
+    """docs with mix_block, mix_slot and mix_position (gapless order of all rows)."""
+    placed, n = slots(docs, group, power, period, block, weights)
     # gapless positions over all rows: at most about 100,000 stretches of slots are counted, then rows ranked inside each
     placed = placed.withColumn("_stretch", F.floor(F.col("mix_slot") / max(512, n // (100_000 * block))))
     before = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_stretch").agg(F.count("*").alias("_n")).select(F.col("_stretch").alias("_st"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    own = Window.partitionBy("_stretch").orderBy("mix_slot", F.xxhash64("doc_id", F.lit("mix")), *ties)
+    own = Window.partitionBy("_stretch").orderBy(*in_slot(placed))
     out = placed.withColumn("_rn", F.row_number().over(own)).join(offsets, F.col("_stretch") == F.col("_st"))
     return out.withColumn("mix_position", (F.col("_off") + F.col("_rn") - 1).cast("bigint")).drop("_stretch", "_st", "_off", "_rn")
 
