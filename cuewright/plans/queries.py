@@ -109,6 +109,28 @@ def _locate(s, d):
     return intervals.locate(_events(s, d).select(F.col("event").alias("p"), "t"), first, HOUR)
 
 
+def _locate_all(s, d):
+    """Points among all sessions, numbered by start and user: the earliest that holds the point.
+
+    Sessions are numbered inside the hour in which they start, moved by the sessions of the hours before. One
+    that lies whole inside an earlier session of its hour is never the first to hold a point, and is left out.
+    """
+    tape = _tape(s, d).withColumn("hour", F.floor(F.col("s") / HOUR))
+    own = Window.partitionBy("hour").orderBy("s", "id")
+    before = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)  # a row for each hour
+    hours = tape.groupBy("hour").agg(F.count("*").alias("k")).select("hour", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("off"))
+    upto = F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = tape.withColumn("rn", F.row_number().over(own)).withColumn("upto", upto).where("upto is null or e > upto")
+    segments = ranked.join(hours, "hour").select((F.col("off") + F.col("rn")).alias("ord"), "s", "e", F.lit(0.0).alias("base"))
+    return intervals.locate(_events(s, d).select(F.col("event").alias("p"), "t"), segments, HOUR)
+
+
+def _intersect_all(s, d):
+    """For each user's month, shared time with every island of every user."""
+    hit = intervals.overlaps(intervals.islands(_padded(s, d)), _month(s, d), 6 * HOUR)
+    return hit.groupBy("id_b").agg(F.count("*").alias("parts"), F.sum(F.col("e") - F.col("s")).alias("seconds"))
+
+
 def _band(s, d):
     """Words within 5 of each recording's cue boundaries: how many, on either side."""
     c = _cues(s, d).select("rec", F.col("end").alias("cut"))
@@ -220,11 +242,13 @@ QUERIES = {
     "w25_islands": (lambda s, d: intervals.islands(_padded(s, d)), "WITH " + TAPE + ", " + ISLE + " SELECT id, s, e FROM isle"),
     "u3_subtract": (lambda s, d: intervals.gaps(_month(s, d), _padded(s, d)), "WITH " + TAPE + ", " + ISLE + ", sp AS (SELECT u AS id, min(t) AS lo, max(t) AS hi FROM ev GROUP BY u), cl AS (SELECT id, greatest(s, lo) AS s, least(e, hi) AS e, lo, hi FROM isle JOIN sp USING (id) WHERE least(e, hi) > greatest(s, lo)), lf AS (SELECT id, coalesce(lag(e) OVER (PARTITION BY id ORDER BY s), lo) AS s, s AS e FROM cl), al AS (SELECT * FROM lf UNION ALL SELECT id, max(e), max(hi) FROM cl GROUP BY id UNION ALL SELECT id, lo, hi FROM sp WHERE id NOT IN (SELECT id FROM cl)) SELECT id, s, e FROM al WHERE e > s"),
     "u4_intersect": (lambda s, d: intervals.overlaps(intervals.islands(_padded(s, d)), _month(s, d).where("id % 2 = 1"), 6 * HOUR).groupBy("id_b").agg(F.count("*").alias("parts"), F.sum(F.col("e") - F.col("s")).alias("seconds")), "WITH " + TAPE + ", " + ISLE + ", mo AS (SELECT u AS id, min(t) AS s, max(t) AS e FROM ev WHERE u % 2 = 1 GROUP BY u) SELECT m.id AS id_b, count(*) AS parts, sum(least(a.e, m.e) - greatest(a.s, m.s)) AS seconds FROM isle a JOIN mo m ON a.s < m.e AND m.s < a.e GROUP BY m.id"),
+    "u4_intersect_all": (_intersect_all, "WITH " + TAPE + ", " + ISLE + ", mo AS (SELECT u AS id, min(t) AS s, max(t) AS e FROM ev GROUP BY u) SELECT m.id AS id_b, count(*) AS parts, sum(least(a.e, m.e) - greatest(a.s, m.s)) AS seconds FROM isle a JOIN mo m ON a.s < m.e AND m.s < a.e GROUP BY m.id"),
     "j1_shared_tape": (lambda s, d: intervals.shared(_tape(s, d).select("id", "s", "e"), 4 * HOUR).where("seconds > 1.0"), "WITH " + TAPE + " SELECT a.id AS id_a, b.id AS id_b, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS seconds, count(*) AS parts, max(least(a.e, b.e) - greatest(a.s, b.s)) AS longest FROM tape a JOIN tape b ON a.id < b.id AND a.s < b.e AND b.s < a.e GROUP BY ALL HAVING sum(least(a.e, b.e) - greatest(a.s, b.s)) > 1.0"),
     "j2_unmerged": (lambda s, d: intervals.shared(_padded(s, d), 8 * HOUR, merge=False).where("seconds >= 10.0"), "WITH " + TAPE + ", " + LONG + " SELECT a.id AS id_a, b.id AS id_b, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS seconds, count(*) AS parts, max(least(a.e, b.e) - greatest(a.s, b.s)) AS longest FROM lng a JOIN lng b ON a.id < b.id AND a.s < b.e AND b.s < a.e GROUP BY ALL HAVING sum(least(a.e, b.e) - greatest(a.s, b.s)) >= 10.0"),
     "j4_forbidden_ranges": (lambda s, d: intervals.without(_events(s, d).select(F.col("event").alias("id"), (F.col("t") - 60).alias("s"), (F.col("t") + 60).alias("e")), _tape(s, d).where("n >= 5").select("id", "s", "e"), HOUR).select("id"), "WITH " + TAPE + " SELECT event_id AS id FROM ev WHERE NOT EXISTS (SELECT 1 FROM tape f WHERE f.n >= 5 AND t - 60 < f.e AND f.s < t + 60)"),
     "j5_forbidden_phrases": (_phrases, "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
     "j6_point_in_interval": (_locate, "WITH " + TAPE + ", o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s) AS k FROM tape), f AS (SELECT id AS ord, s, e FROM o WHERE k = 1), h AS (SELECT event_id AS p, ord, t - s AS \"at\", row_number() OVER (PARTITION BY event_id ORDER BY ord) AS r FROM ev JOIN f ON t >= s AND t <= e) SELECT p, ord, \"at\" FROM h WHERE r = 1"),
+    "j6_point_in_any": (_locate_all, "WITH " + TAPE + ", f AS (SELECT row_number() OVER (ORDER BY s, id) AS ord, s, e FROM tape), h AS (SELECT event_id AS p, ord, t - s AS \"at\", row_number() OVER (PARTITION BY event_id ORDER BY ord) AS r FROM ev JOIN f ON t >= s AND t <= e) SELECT p, ord, \"at\" FROM h WHERE r = 1"),
     "j12_keyword_prefix": (_prefix, "WITH a AS (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(p_name), '[a-z'']+')) AS a FROM part), b AS (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(p_type), '[a-z'']+')) AS b FROM part) SELECT p_partkey, a, b FROM a JOIN b USING (p_partkey) WHERE length(a) >= 4 AND length(b) >= 4 AND (starts_with(a, b) OR starts_with(b, a))"),
     "j13_carry_labels": (_carry, "SELECT lang, count(*) AS n, CAST(sum(coalesce(quality, 0)) AS BIGINT) AS good, count(*) FILTER (quality IS NULL) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang"),
     "j17_band_join": (_band, "WITH " + WORD + ' SELECT c.rec, c.e AS cut, count(*) FILTER ((t0 + t1) / 2 <= c.e) AS before, count(*) FILTER ((t0 + t1) / 2 > c.e) AS after FROM cues c JOIN words w ON c.rec = w.rec AND (t0 + t1) / 2 BETWEEN c.e - 20 AND c.e + 20 GROUP BY c.rec, c.e'),
