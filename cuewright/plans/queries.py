@@ -18,6 +18,10 @@ DAY, HOUR = 86400.0, 3600.0
 STOP = ["the", "and", "that", "for", "with", "was", "are", "this", "from", "der", "die", "das", "und", "des", "les", "que", "del", "los", "las", "par", "sur", "con", "por"]
 
 
+#: Phrases too short for a key are broadcast up to this many rows, and joined without it beyond.
+SHORT = 10_000
+
+
 def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -147,14 +151,23 @@ def _prefix(s, d):
 
 
 def _phrases(s, d):
-    """Documents that hold a benchmark passage whole: its first five words find candidates, contains decides."""
-    toks = lambda c: F.filter(F.split(c, " "), lambda t: t != "")
+    """Documents that hold a benchmark passage whole: five of its inner words find candidates, contains decides.
+
+    A passage's first and last word may be parts of longer ones in a document (a quote, a bracket, a full stop), so
+    the key leaves them out. Passages too short for a key are looked for in every document.
+    """
+    toks = lambda c: F.filter(F.split(c, r"\s+"), lambda t: t != "")
     key = lambda i: F.array_join(F.slice("w", i, 5), " ")
-    p = _t(s, d, "benchmark").select("item_id", F.col("text").alias("phrase"), toks("text").alias("w")).select("item_id", "phrase", key(1).alias("k"))
+    p = _t(s, d, "benchmark").where("text is not null").select("item_id", F.col("text").alias("phrase"), toks("text").alias("w"))
     docs = _t(s, d, "documents").select("doc_id", "text", toks("text").alias("w"))
     at = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), key))).alias("k"))
-    near = at.join(p, "k").select("doc_id", "item_id", "phrase")
-    return near.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id").distinct()
+    near = at.join(p.where(F.size("w") >= 7).select("item_id", "phrase", key(2).alias("k")), "k").select("doc_id", "item_id", "phrase")
+    held = near.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id")
+    short = p.where(F.size("w") < 7).select("item_id", "phrase")
+    n = short.limit(SHORT + 1).count()  # the short ones go to every document, broadcast as long as they are few
+    if n:
+        held = held.unionByName(docs.join(F.broadcast(short) if n <= SHORT else short, F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id"))
+    return held.distinct()
 
 
 def _clip(s, d):

@@ -49,3 +49,13 @@ def test_points_in_any_session(spark, tmp_path):
     got = {r["p"]: (r["ord"], r["at"]) for r in plans.queries()["j6_point_in_any"](spark, str(tmp_path)).collect()}
     tape = sorted((s, u, e) for u, s, e in sessions(events))
     assert got == {p: next((k, t - s) for k, (s, _, e) in enumerate(tape, 1) if s <= t <= e) for p, _, t in events}
+
+
+def test_phrases_beside_other_characters(spark, tmp_path):
+    phrases = ["The quick brown fox jumps over it", "five words and no more", "two words", "word", "a phrase\nof two lines, eight\twords long", " blank at both of its two ends ", "ends in a full stop, it does.", None]
+    texts = [None, "", *[x for p in phrases[:-1] for x in (p, f"foo\n{p}", f"foo\t{p}\nbar", f'he said "{p}"', f"[{p}]", f"{p}.", f"x{p}y", p.replace(" ", "  "), p[:-1])]]
+    spark.createDataFrame(list(enumerate(phrases)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.queries()["j5_forbidden_phrases"](spark, str(tmp_path)).collect()
+    want = [(d, i) for d, t in enumerate(texts) for i, p in enumerate(phrases) if t is not None and p is not None and p in t]
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == want
