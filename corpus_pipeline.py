@@ -7,6 +7,9 @@ the order of a Pfair mix of their sources; and best-fit packing gives the pieces
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from cuewright.llm import common, fertility, langid, mixing, neardup, packing
@@ -19,16 +22,18 @@ def language(spark, docs, sf_dir):
 
 
 def rules(spark, docs, sf_dir):
-    """Kept: documents that neither the base rules nor the fertility bands reject."""
-    measured = common.cut(fertility.measure(docs.select("doc_id", "lang", "text")))
-    good = fertility.judge(measured).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Kept: rows that neither the base rules nor the fertility bands reject, by their own language and text."""
+    own = {"_id": F.col("doc_id"), "_lang": F.col("lang"), "_text": F.md5("text")}
+    measured = common.cut(fertility.measure(docs.select("lang", "text", *[c.alias(k) for k, c in own.items()])))
+    good = fertility.judge(measured).where("kept").select(*own).distinct()
+    same = reduce(and_, [c.eqNullSafe(F.col(k)) for k, c in own.items()])
+    return docs.join(good, same, "left_semi")
 
 
 def deduplicate(spark, docs, sf_dir):
-    """Kept: of each group of near-duplicates the smallest doc_id, once."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Kept: of each group of near-duplicates one row, of the smallest doc_id."""
+    rows, _ = common.keyed(docs, "_row")
+    return rows.join(common.cut(neardup.first_rows(rows, "_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def mix(spark, docs, sf_dir):

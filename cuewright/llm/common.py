@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,32 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, out: str) -> tuple[DataFrame, int]:
+    """`df` with `out`, a long of each row's own in the order of file names and rows, and a bound above it.
+
+    It comes from the file and the row's place in it, so every read gives the same; a table that is not read
+    from files is written first. Without filters it is gapless.
+    """
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        df = cut(df)
+    sizes = df.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.max("_metadata.row_index").alias("m")).collect()  # a row for each file
+    files, n = [], 0
+    for r in sorted(sizes):
+        files.append((r["f"], n))
+        n += r["m"] + 1
+    starts = df.sparkSession.createDataFrame(files, "_file string, _start long")
+    placed = df.withColumns({"_path": F.col("_metadata.file_path"), out: F.col("_metadata.row_index")}).join(F.broadcast(starts), F.col("_path") == F.col("_file"))
+    return placed.withColumn(out, F.col(out) + F.col("_start")).drop("_path", "_file", "_start"), n
+
+
+def spread(column: str, n: int) -> Column:
+    """Numbers from 0 to n - 1 over the whole range of a long, in their order."""
+    half = n // 2 + 1
+    return (F.col(column) - half) * ((2**63 - 1) // half)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n

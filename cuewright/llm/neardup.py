@@ -17,7 +17,8 @@
    full sets inside the task, so that only links leave it.
 
 A pair at 0.75 shares a band but for a chance of 5e-6. Documents without words are linked with nothing.
-Null text counts as empty. Rows that repeat a doc_id are given back each. Extra columns are ignored.
+Null text counts as empty. Rows are compared, not ids: rows that repeat a doc_id are given back each, and each
+has its own text's group. A group is named by its smallest doc_id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix, shingles
+from .common import U64, cut, keyed, mix, shingles
 from .components import components
 
 SLOTS, BANDS, ROWS = 128, 32, 4
@@ -94,7 +95,7 @@ def _describe(batches):
             d1, d2 = (pa.array([int(f(s).sum(dtype=U64).astype(np.int64)) for s in own], pa.int64()) for f in (mix, lambda s: s * s))
             narrow = (sig ^ (sig >> 56)).astype(np.uint8)
             lists = pa.ListArray.from_arrays(np.arange(0, len(own) * BANDS + 1, BANDS, dtype=np.int32), pa.array(bands.astype(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(docs[start:i], pa.int64()), pa.array([len(s) for s in own], pa.int64()), d1, d2, lists, pa.array([r.tobytes() for r in narrow], pa.binary())], names=["doc_id", "n", "d1", "d2", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[start:i], pa.int64()), batch.column("id").slice(start, i - start), pa.array([len(s) for s in own], pa.int64()), d1, d2, lists, pa.array([r.tobytes() for r in narrow], pa.binary())], names=["doc_id", "id", "n", "d1", "d2", "bands", "sig"])
 
 
 def _fits(a: str, b: str) -> str:
@@ -238,12 +239,13 @@ def _swept(dealt: DataFrame, step) -> DataFrame:
     return rows.mapInArrow(partial(_across, step=step), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    described = cut(docs.mapInArrow(_describe, "doc_id long, n long, d1 long, d2 long, bands array<long>, sig binary"))
-    classes = cut(described.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
-    reps = cut(described.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "bands", "sig"))
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs (a row's own doc_id, id, text): rows with their classes, classes with their groups, and each
+    group's first row, that of the smallest id. Rows without words are in no class."""
+    described = cut(docs.mapInArrow(_describe, "doc_id long, id long, n long, d1 long, d2 long, bands array<long>, sig binary"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("row"))).alias("first")
+    classes = cut(described.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), first))
+    reps = cut(described.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "bands", "sig"))
     members = reps.select("doc_id", "n", F.explode("bands").alias("bucket"))
     lead = F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("h"), F.col("doc_id").alias("lead"), F.col("n").alias("lead_n"))).alias("l")
     leaders = cut(members.groupBy("bucket").agg(lead, F.count("*").alias("size")).where("size > 1").select("bucket", "l.lead", "l.lead_n", "size"))
@@ -257,9 +259,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = _texts(docs, rest.select("doc_id").distinct()).mapInArrow(_itemised, "doc_id long, items binary")
     found = found.unionByName(cut(_swept(rest.join(sets, "doc_id"), _exact)))
     labels = cut(components(found))
-    named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("_c"))
-    out = described.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = cut(classes.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("_c"), "first"))
+    firsts = named.groupBy("_c").agg(F.min("first").alias("first")).select("_c", F.col("first.id").alias("_id"), F.col("first.row").alias("_first"))
+    return described.select("doc_id", "id", "n", "d1", "d2"), named.drop("first"), firsts
+
+
+def _own(rows: DataFrame, row: str) -> DataFrame:
+    return rows.select(F.col(row).alias("doc_id"), F.col("doc_id").cast("bigint").alias("id"), "text")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
+    rows, named, firsts = _grouped(_own(keyed(docs.select("doc_id", "text"), "_row")[0], "_row"))
+    out = rows.join(named.join(firsts, "_c"), ["d1", "d2", "n"], "left").withColumn("component_id", F.coalesce("_id", "id"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("doc_id") == F.col("_first"), F.lit(True))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def first_rows(rows: DataFrame, row: str) -> DataFrame:
+    """`row` (a long of each row's own) of the one row that stays of each group. Of equal texts without words
+    one stays for each doc_id."""
+    _, _, firsts = _grouped(_own(rows, row))
+    blank = rows.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).groupBy("doc_id", "text").agg(F.min(row).alias(row))
+    return firsts.select(F.col("_first").alias(row)).unionByName(blank.select(row))
 
 
 def query(spark, sf_dir):

@@ -1,5 +1,6 @@
 """Long pairs at the threshold, repeated ids and the order of the mix."""
 
+import corpus_pipeline
 from cuewright.llm import neardup
 from tests.llm.test_brute import grouped
 
@@ -19,3 +20,23 @@ def test_long_pairs_at_the_threshold(spark):
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == grouped(rows)
     assert [r["component_id"] for r in sorted(got)] == [0, 0, 2, 2, 4, 4, 6, 6]
+
+
+def test_texts_that_share_an_id(spark):
+    a, b = at_threshold(1)[0], at_threshold(2)[0]
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (None, a), (None, "quite another text of seven words"), (None, "quite another text of seven words")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in got if r["n_shingles"] > 9) == [(0, 1015, 5, False), (5, 1015, 5, True), (5, 1015, 5, True), (7, 1016, 5, False), (8, 1016, 5, False)]
+    assert sorted(r["kept"] for r in got if r["n_shingles"] == 2) == [False, True]
+
+
+def test_stages_decide_by_row(spark, sf):
+    """Repeated ids and null ids: one row of each group stays, and no rejected row does."""
+    good = [r["text"] for r in corpus_pipeline.rules(spark, spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'"), sf).limit(3).collect()]
+    bad = "same words " * 60
+    rows = [(1, good[0], "en"), (1, good[0], "en"), (1, bad, "en"), (2, good[0], "en"), (None, good[1], "en"), (None, good[1], "en"), (None, bad, "en"), (1, good[2], "en"), (3, " ", "en"), (3, " ", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    passed = corpus_pipeline.rules(spark, docs, sf).collect()
+    assert len(passed) == 6 and bad not in {r["text"] for r in passed}
+    kept = [tuple(r) for r in corpus_pipeline.deduplicate(spark, docs, sf).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [*{tuple(r) for r in rows} - {(2, good[0], "en"), (None, bad, "en")}]))
