@@ -44,8 +44,9 @@ def mix(spark, docs, sf_dir):
 
 
 def pack(spark, docs, sf_dir):
-    """Pieces of at most 1024 tokens and their places in sequences."""
-    return packing.pack(common.cut(packing.pieces(docs)))
+    """Pieces of at most 1024 tokens and their places in sequences, in the order of the mix: that of the files read."""
+    rows, n = common.keyed(docs, "_row")
+    return packing.pack(common.cut(packing.pieces(rows, order="_row")), order="_row", n=n)
 
 
 STAGES = [("language", language), ("rules", rules), ("deduplicate", deduplicate), ("mix", mix), ("pack", pack)]

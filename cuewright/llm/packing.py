@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, gapless_rank
+from .common import cut, gapless_rank, spread
 from .fertility import PATTERN, encoding
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -37,16 +37,17 @@ def piece_bounds(n: int, cap: int = CAP) -> list[tuple[int, int]]:
     return [(0, first), *((s, cap) for s in range(first, n, cap))]
 
 
-def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, cap: int = CAP, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) for each piece.
+def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, cap: int = CAP, with_ids: bool = False, order: str | None = None) -> DataFrame:
+    """doc_id (and order), piece, start, length, ids_crc32 (and ids) for each piece.
 
     The same vocabulary stands in two files: the rank file is encoded about three times as fast, and
     gives the same ids but where a special token's string occurs; such texts take the other file.
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((open(tokenizer, encoding="utf-8").read(), open(ranks, "rb").read()))  # 2.4 MB
-    docs = docs.select("doc_id", "text")
-    fields = [docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("piece", "start", "length", "ids_crc32")]]
+    own = ["doc_id", *[order] * bool(order)]
+    docs = docs.select(*own, "text")
+    fields = [*[docs.schema[c] for c in own], *[T.StructField(c, T.LongType()) for c in ("piece", "start", "length", "ids_crc32")]]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
 
     def run(batches):
@@ -55,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, cap:
         fast, plain = encoding(shared.value[1]), None
         for batch in batches:
             out: list[list] = [[] for _ in fields]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for *row, text in zip(*(batch.column(c).to_pylist() for c in (*own, "text")), strict=True):
                 text = text or ""
                 if "<|endoftext|>" in text:
                     plain = plain or Tokenizer.from_str(shared.value[0])
@@ -64,10 +65,10 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, cap:
                     ids = fast.encode_ordinary(text)
                 ids = np.array([*ids, END], "<u4")
                 for k, (start, length) in enumerate(piece_bounds(len(ids), cap)):
-                    own = ids[start : start + length]
-                    for column, value in zip(out, (doc, k, start, length, zlib.crc32(own.tobytes()), own.astype(np.int32)), strict=False):
+                    part = ids[start : start + length]
+                    for column, value in zip(out, (*row, k, start, length, zlib.crc32(part.tobytes()), part.astype(np.int32)), strict=False):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [batch.schema.field("doc_id").type, *[pa.int64()] * 4, pa.list_(pa.int32())], strict=False)], names=[f.name for f in fields])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [*[batch.schema.field(c).type for c in own], *[pa.int64()] * 4, pa.list_(pa.int32())], strict=False)], names=[f.name for f in fields])
 
     return docs.mapInArrow(run, T.StructType(fields))
 
@@ -112,13 +113,20 @@ def sweep(counts: dict[int, int], cap: int = CAP) -> list[tuple[int, int, int, i
     return sorted(out)
 
 
-def pack(cut_pieces: DataFrame, cap: int = CAP) -> DataFrame:
-    """Add sequence_id and offset. `cut_pieces` is read more than once; cut it first."""
+def pack(cut_pieces: DataFrame, cap: int = CAP, order: str | None = None, n: int = 0) -> DataFrame:
+    """Add sequence_id and offset. `cut_pieces` is read more than once; cut it first.
+
+    order: a column of numbers below n, which goes. Along sequence_id the pieces of each length follow it; which
+    lengths share a sequence does not depend on it.
+    """
+    key, ties = (spread(order, n), [order, "piece"]) if order else (F.xxhash64("doc_id", "piece"), ["doc_id", "piece", "ids_crc32"])
     counts = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most cap rows
     segments = np.array(sweep(counts, cap) or np.zeros((0, 6)), np.int64).reshape(-1, 6)
     shared = cut_pieces.sparkSession.sparkContext.broadcast(segments)
-    ranked = gapless_rank(cut_pieces, ["length"], F.xxhash64("doc_id", "piece"), ["doc_id", "piece", "ids_crc32"], sum(counts.values()), "rank")
-    schema = T.StructType([*[f for f in ranked.schema.fields if f.name != "rank"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    n_rows = sum(counts.values())
+    ranked = gapless_rank(cut_pieces, ["length"], key, ties, n_rows, "rank")
+    ranked, own = (cut(ranked), ["length", "rank"]) if order else (ranked, ranked.columns)
+    schema = T.StructType([*[ranked.schema[c] for c in own if c != "rank"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches):
         seg = shared.value
@@ -130,7 +138,16 @@ def pack(cut_pieces: DataFrame, cap: int = CAP) -> DataFrame:
             kept = [batch.column(c) for c in schema.names[:-2]]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(own[:, 3] + k // own[:, 4]), pa.array(own[:, 5] + k % own[:, 4] * length)], names=schema.names)
 
-    return ranked.mapInArrow(run, schema)
+    placed = ranked.select(*own).mapInArrow(run, schema)
+    if not order:
+        return placed
+    # the places of every length are spread evenly over the sequences in hash order, and its pieces go to them in theirs
+    placed = cut(placed)
+    shuffled = F.xxhash64("sequence_id")
+    places = gapless_rank(placed, ["length"], shuffled, ["sequence_id", "offset"], n_rows, "rank")
+    numbers = gapless_rank(placed.where("offset = 0").select("sequence_id"), [], shuffled, ["sequence_id"], n_rows, "_new")
+    out = ranked.join(places, ["length", "rank"]).join(numbers, "sequence_id").withColumn("sequence_id", F.col("_new"))
+    return out.select(*[c for c in cut_pieces.columns if c != order], "sequence_id", "offset")
 
 
 def query(spark, sf_dir):

@@ -1,5 +1,9 @@
 """Long pairs at the threshold, repeated ids and the order of the mix."""
 
+from collections import Counter
+
+import numpy as np
+
 import corpus_pipeline
 from cuewright.llm import neardup
 from tests.llm.test_brute import grouped
@@ -40,3 +44,24 @@ def test_stages_decide_by_row(spark, sf):
     assert len(passed) == 6 and bad not in {r["text"] for r in passed}
     kept = [tuple(r) for r in corpus_pipeline.deduplicate(spark, docs, sf).collect()]
     assert sorted(map(str, kept)) == sorted(map(str, [*{tuple(r) for r in rows} - {(2, good[0], "en"), (None, bad, "en")}]))
+
+
+def test_sequences_follow_the_mix(spark, sf, tmp_path):
+    """Sources of 3600 and 400 rows have target shares of 3/4 and 1/4 as long as both last. Pieces follow the mix
+    inside their length, so the test has some 500 of each of eight lengths."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "word " * int(rng.choice([20, 75, 130, 210, 330, 480, 620, 800])), "small" if i % 10 == 0 else "large") for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "docs"))
+    corpus_pipeline.mix(spark, spark.read.parquet(str(tmp_path / "docs")), sf).write.parquet(str(tmp_path / "mix"))
+    got = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "mix")), sf).collect()
+    used = Counter()
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == used[r["sequence_id"]]
+        used[r["sequence_id"]] += r["length"]
+    assert sorted(used) == list(range(len(used))) and max(used.values()) <= 1024 and len(got) == 4000
+    shares = []
+    for part in range(4):
+        own = [r["doc_id"] % 10 == 0 for r in got if r["sequence_id"] * 10 // len(used) == part]
+        shares.append(sum(own) / len(own))
+    print("shares of the small source in tenths of the sequences:", shares)
+    assert all(abs(s - 0.25) < 0.06 for s in shares[:3])
