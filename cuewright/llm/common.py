@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -21,9 +23,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only in local mode where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="cuewright-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -37,7 +41,34 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*cuts: DataFrame | None) -> None:
+    """Delete the tables behind results of cut() that nothing reads any more."""
+    for df in cuts:
+        if df is not None and (path := getattr(df, "_cut_path", None)):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that no column of `df` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def draw(salt: str, *columns: str) -> Column:
+    """A uniform number in [0, 1) from the columns' 64-bit hash."""
+    return F.xxhash64(*columns, F.lit(salt)).cast("double") / 2.0**64 + 0.5
 
 
 def keyed(df: DataFrame, out: str) -> tuple[DataFrame, int]:
@@ -55,9 +86,10 @@ def keyed(df: DataFrame, out: str) -> tuple[DataFrame, int]:
     for r in sorted(sizes):
         files.append((r["f"], n))
         n += r["m"] + 1
-    starts = df.sparkSession.createDataFrame(files, "_file string, _start long")
-    placed = df.withColumns({"_path": F.col("_metadata.file_path"), out: F.col("_metadata.row_index")}).join(F.broadcast(starts), F.col("_path") == F.col("_file"))
-    return placed.withColumn(out, F.col(out) + F.col("_start")).drop("_path", "_file", "_start"), n
+    path, file, start = free(df, "_path", "_file", "_start")
+    starts = df.sparkSession.createDataFrame(files, f"{file} string, {start} long")  # a row for each file
+    placed = df.withColumns({path: F.col("_metadata.file_path"), out: F.col("_metadata.row_index")}).join(small(starts), F.col(path) == F.col(file))
+    return placed.withColumn(out, F.col(out) + F.col(start)).drop(path, file, start), n
 
 
 def spread(column: str, n: int) -> Column:
@@ -131,10 +163,6 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(windows(words, width))
 
 
-def bits_for(n: int, per_bucket: int = 10_000) -> int:
-    return min(20, max(0, math.ceil(math.log2(max(1, n) / per_bucket))))
-
-
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """`df` as the broadcast side of a join if it has at most so many (narrow) rows, and as it is beyond.
 
@@ -143,23 +171,31 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def gapless_rank(df: DataFrame, group: list[str], key: Column, ties: list[str], n: int, out: str) -> DataFrame:
+def gapless_rank(df: DataFrame, group: list[str], key: Column, ties: list[str], out: str, per_bucket: int = 10_000) -> DataFrame:
     """Add `out`: 0, 1, 2, ... within each group in the order of `key`, a uniform 64-bit long.
 
-    No group is gathered in one task: rows are bucketed by the leading bits of the key, ranked
-    inside the bucket, and moved by the exact number of rows in the buckets before. n is the number
-    of rows, from which the number of buckets follows. A group may be null.
+    No group is gathered in one task: a group of n rows is split by the leading bits of the key into about
+    n / per_bucket buckets, rows are ranked inside the bucket and moved by the exact number of rows in the
+    buckets before. `df` is read three times (counts of groups, counts of buckets, rows). A group may be
+    null. Columns of `df` are kept whatever their names; one named `out` is replaced.
     """
-    bits = bits_for(n)
-    sub = F.shiftright(key, 64 - bits) if bits else F.lit(0).cast("bigint")
-    df = df.withColumn("_key", key).withColumn("_sub", sub)
-    by = [*group, "_sub"]
-    before = Window.partitionBy(*[F.col(c) for c in group]).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    offsets = offsets.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], "_off")
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy("_key", *ties)))
-    same = F.lit(True)
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    joined = ranked.join(small(cut(offsets)), same, "left")
-    return joined.withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint")).drop("_key", "_sub", "_rn", "_off", *[f"_g{i}" for i in range(len(by))])
+    df = df.drop(out)
+    key_, sub, bits, rn, off = free(df, "_key", "_sub", "_bits", "_rn", "_off")
+    mine = free(df, *[f"_g{i}" for i in range(len(group))])
+    own = lambda names: reduce(and_, [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(group, names, strict=True)], F.lit(True))
+    ranked_by = lambda *cols: F.row_number().over(Window.partitionBy(*cols).orderBy(key_, *ties))
+    width = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / per_bucket))).cast("int")
+    wide = cut(df.groupBy(*[F.col(c).alias(g) for c, g in zip(group, mine, strict=True)]).agg(width.alias(bits)).where(F.col(bits) > 0))
+    keyed_ = df.withColumn(key_, key)
+    if wide.isEmpty():  # every group fits one bucket
+        return keyed_.withColumn(out, (ranked_by(*(group or [F.lit(0)])) - 1).cast("bigint")).drop(key_)
+    keyed_ = keyed_.join(small(wide), own(mine), "left").drop(*mine) if group else keyed_.withColumn(bits, F.lit(wide.first()[0]))
+    # the signed key's leading bits; none where the group has one bucket
+    leading = F.when(F.coalesce(F.col(bits), F.lit(0)) > 0, F.expr(f"shiftright(`{key_}`, 64 - `{bits}`)")).otherwise(F.lit(0).cast("bigint"))
+    keyed_ = keyed_.withColumn(sub, leading).drop(bits)
+    before = Window.partitionBy(*[F.col(g) for g in mine]).orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed_.groupBy(*[F.col(c).alias(g) for c, g in zip(group, mine, strict=True)], sub).agg(F.count("*").alias(rn))
+    offsets = sizes.select(*mine, F.col(sub).alias(bits), F.coalesce(F.sum(rn).over(before), F.lit(0)).alias(off)).where(F.col(off) > 0)
+    ranked = keyed_.withColumn(rn, ranked_by(*group, sub))
+    joined = ranked.join(small(cut(offsets)), own(mine) & (F.col(sub) == F.col(bits)), "left")
+    return joined.withColumn(out, (F.coalesce(F.col(off), F.lit(0)) + F.col(rn) - 1).cast("bigint")).drop(key_, sub, bits, rn, off, *mine)
