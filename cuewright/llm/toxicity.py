@@ -4,10 +4,13 @@ Features are the distinct hashed words, adjacent pairs and one-word-skipping pai
 text (ASCII punctuation separates words). Each coordinate has its own learning rate; L1 leaves most
 weights at exactly zero, so what is broadcast is a short list of (bucket, weight).
 
-Training uses at most about MAX_TRAIN_ROWS labelled rows, whole texts, chosen by a hash threshold: a
-documented bound. Defined results: null text counts as empty; an empty text scores the sigmoid of the
-bias; labels null or absent are not learned from, several labels of a document count as their
-maximum; no label at all -> score 0.0 for all. Repeated rows are scored each. Extra columns pass through.
+Training uses at most about MAX_TRAIN_ROWS labelled rows and MAX_TRAIN_BYTES of whole texts, chosen by a
+64-bit hash threshold, so the bound holds at any number of rows: a documented bound.
+
+Defined results: null text counts as empty; an empty text scores the sigmoid of the bias; a very long text
+is scored whole; labels null or absent are not learned from, several labels of a document count as their
+maximum; no label at all -> score 0.0 for all. Repeated rows are scored each and alike; so are ties. An empty
+table gives no rows. Other columns pass through whatever their names; one named score is replaced.
 """
 
 from __future__ import annotations
@@ -18,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, crc_mod, mix, word_hashes
+from .common import U64, crc_mod, draw, mix, word_hashes
 
 BITS, EPOCHS = 20, 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.5
 #: A bucket is admitted to training if so many training texts have it.
 ADMIT = 2
-MAX_TRAIN_ROWS = 12_000
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 12_000, 128_000_000
 _PLAIN = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -62,12 +65,17 @@ def fit(rows: list[tuple[str, int]], seed: int = 11) -> dict:
 _MODEL = T.StructType([T.StructField("at", T.ArrayType(T.LongType())), T.StructField("weight", T.ArrayType(T.DoubleType())), T.StructField("bias", T.DoubleType())])
 
 
+def share_of(n: int, size: float, max_rows: int, max_bytes: int = MAX_TRAIN_BYTES) -> float:
+    """The share of n rows of so many bytes that keeps both bounds."""
+    return min(1.0, max_rows / max(1, n), max_bytes / max(1.0, size))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
     """A model from labelled rows whose crc32(doc_id) mod 4 is not 2."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 4) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
-    share = min(1.0, max_rows / max(1, known.count()))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000))
-    chosen = known.where(draw < int(share * 1_000_000))
+    size = docs.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
+    n = known.count()
+    chosen = known.where(draw("toxic", "doc_id") < share_of(n, n * size, max_rows))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "_y")  # at most about max_rows rows of two numbers
 
     def run(pdf):
