@@ -5,12 +5,14 @@ either end marks the word's edge), hashed to BUCKETS rows of an embedding table.
 of its subwords' embeddings; a linear softmax on it is trained by plain stochastic gradient descent
 in numpy. Table and softmax fold into one BUCKETS x languages matrix, which is what is broadcast.
 
-Training uses at most about MAX_TRAIN_ROWS rows for each language (hash-thresholded, whole texts), a
-documented bound; a fifth of them calibrates a temperature and the rejection threshold.
+Training uses at most about MAX_TRAIN_ROWS rows and MAX_TRAIN_BYTES of whole texts for each language, chosen
+by a 64-bit hash threshold, so the bound holds at any number of rows: a documented bound. A fifth of them
+calibrates a temperature and the rejection threshold.
 
 Defined results: null text, or text without a letter -> `und`, score 0, rejected. Rows without lang,
-text or letters are not learned from. No usable training row -> `und` for all. Repeated rows are
-scored each; all other columns pass through unread, a column named like an output is replaced.
+text or letters are not learned from. No usable training row -> `und` for all. A very long text is read
+whole. Repeated rows are scored each and alike; of equally likely languages the first by name is given. An
+empty table gives no rows; all other columns pass through unread, one named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, cut, small
+from .common import crc_mod, cut, draw, small
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 4, 2.0
-MAX_TRAIN_ROWS = 1500
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 1500, 16_000_000
 _BLANK = np.zeros(256, bool)
 _BLANK[:65] = True
 _BLANK[91:97] = _BLANK[123:128] = True
@@ -97,9 +99,8 @@ _MODEL = T.StructType([T.StructField("langs", T.ArrayType(T.StringType())), T.St
 def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
     """A model from rows with a lang whose crc32(doc_id) mod 5 is not 0."""
     usable = docs.select("doc_id", "text", "lang").where((crc_mod("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").agg(F.count("*").alias("_n"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000))
-    sample = usable.join(small(cut(counts)), "lang").where(draw * F.col("_n") < F.lit(max_rows * 1_000_000)).select("text", "lang")
+    counts = usable.groupBy("lang").agg(F.least(max_rows / F.count("*"), F.lit(float(MAX_TRAIN_BYTES)) / F.greatest(F.lit(1), F.sum(F.octet_length("text")))).alias("_share"))
+    sample = usable.join(small(cut(counts)), "lang").where(draw("langid", "doc_id") < F.col("_share")).select("text", "lang")
 
     def run(pdf):
         import pandas as pd
