@@ -2,13 +2,17 @@
 isotonic calibration.
 
 Every text is measured once (16 statistics; the table of statistics is cut to the shared folder). The
-cosine features approximate a Gaussian kernel; each of PARTS partitions of labelled rows sums its
-normal equations, and the driver adds PARTS small matrices, however many rows there are. A hashed
-fifth of the training rows is kept for calibration: their ridge scores are counted in 4096 bins, and
-pool-adjacent-violators over the bins gives the step function from ridge score to probability.
-
-Defined results: null text counts as empty; labels null or absent are not learned from, several labels
-of a document count as their maximum; no label -> score 0.0. Repeated rows are scored each.
+cosine features approximate a Gaussian kernel; beside them the ridge sees the standardised statistics
+themselves, scaled down, and a constant. Each partition of labelled rows sums its normal equations where it
+lies, and the lines of the matrices are added in tasks, so the driver gets one matrix, however many rows
+and partitions there are. A hashed fifth of the training rows is kept for calibration: their ridge scores
+are counted in 4096 bins, and pool-adjacent-violators over the bins gives the rising step function from
+ridge score to probability that is the score. So scores repeat: a step's documents are ties.
+
+Defined results: null text counts as empty, and an empty text has a score like any; very long texts are
+measured whole; labels null or absent are not learned from, several labels of a document count as their
+maximum; no label -> score 0.0; no label in the calibrating fifth -> 0.5. Repeated rows are scored each and
+alike. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import crc_mod, cut, windows, word_hashes
 
-N_STATS, FEATURES, PARTS, BINS = 16, 256, 16, 4096
+N_STATS, FEATURES, BINS = 16, 256, 4096
 RIDGE, GAMMA = 1e-3, 0.04
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -99,19 +103,25 @@ def train(stats: DataFrame, labels: DataFrame) -> dict | None:
     shared = spark.sparkContext.broadcast(lift)
 
     def equations(batches):
+        from pyspark import TaskContext
+
         size = FEATURES + N_STATS + 1
-        a, b, n = np.zeros((size, size)), np.zeros(size), 0
+        lines = np.zeros((size, size + 2))  # line i of the matrix, then the right side and the number of rows
         for x, y in _stack(batches, ("stats", "y")):
             z = shared.value(x)
-            a, b, n = a + z.T @ z, b + z.T @ y, n + len(y)
-        yield pa.RecordBatch.from_pydict({"a": [a.tobytes()], "b": [b.tobytes()], "n": [n]})
+            lines += np.column_stack((z.T @ z, z.T @ y, np.full(size, len(y))))
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict({"i": np.arange(size), "part": np.full(size, part), "line": [r.tobytes() for r in lines]})
+
+    def added(pdf):
+        total = sum(np.frombuffer(x) for x in pdf.sort_values("part")["line"])  # in a fixed order
+        return pdf.head(1).assign(line=total.tobytes())[["i", "line"]]
 
-    parts = rows.where(~F.col("cal")).repartition(PARTS).mapInArrow(equations, "a binary, b binary, n long").collect()  # PARTS rows
-    total = sum(p["n"] for p in parts)
-    b = sum(np.frombuffer(p["b"]) for p in parts)
-    a = sum(np.frombuffer(p["a"]) for p in parts).reshape(len(b), len(b))
+    summed = rows.where(~F.col("cal")).mapInArrow(equations, "i long, part long, line binary").groupBy("i").applyInPandas(added, "i long, line binary")
+    whole = np.array([np.frombuffer(r["line"]) for r in sorted(summed.collect())])  # FEATURES + N_STATS + 1 lines
+    a, b, total = whole[:, :-2], whole[:, -2], whole[0, -1]
     w = np.linalg.solve(a + RIDGE * max(1, total) * np.eye(len(b)) / FEATURES + 1e-9 * np.eye(len(b)), b)
-    model = {"lift": lift, "w": w, "edges": np.array([-1e9]), "steps": np.array([0.5])}
+    model = {"lift": lift, "w": w, "edges": np.array([0]), "steps": np.array([0.5])}
     held = spark.sparkContext.broadcast(model)
 
     def binned(batches):
@@ -121,7 +131,7 @@ def train(stats: DataFrame, labels: DataFrame) -> dict | None:
 
     bins = rows.where("cal").mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.sum("y").alias("g"), F.count("*").alias("n")).orderBy("bin").collect()  # at most BINS rows
     if bins:
-        edges, steps = pool(np.array([r["bin"] for r in bins]) / (BINS - 1) * 2 - 0.5, np.array([r["g"] for r in bins]), np.array([r["n"] for r in bins], float))
+        edges, steps = pool(np.array([r["bin"] for r in bins]), np.array([r["g"] for r in bins]), np.array([r["n"] for r in bins], float))
         model |= {"edges": edges, "steps": steps}
     return model
 
@@ -139,7 +149,7 @@ def predict(stats: DataFrame, model: dict | None) -> DataFrame:
             if m:
                 x = batch.column("stats").flatten().to_numpy().reshape(batch.num_rows, -1)
                 raw = np.clip(m["lift"](x) @ m["w"], -0.5, 1.5)
-                out = np.interp(raw, m["edges"], m["steps"]) * 0.999 + 0.001 * (raw + 0.5) / 2
+                out = m["steps"][np.maximum(np.searchsorted(m["edges"], np.floor((raw + 0.5) / 2 * (BINS - 1)), "right") - 1, 0)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(out, 0, 1))], names=["doc_id", "score"])
 
     return stats.mapInArrow(run, T.StructType([stats.schema["doc_id"], T.StructField("score", T.DoubleType())]))
