@@ -4,14 +4,19 @@ Rows are hashed to shards of about SHARD_ROWS. In each shard equal vectors becom
 stay with it), one coordinate is added so that all have one norm (then the nearest by distance is the
 largest inner product), and nodes enter the graph in batches: a greedy beam search from the entry node
 proposes neighbours, and pruning keeps the nearest one, drops those that it covers (ALPHA times as near
-to it as to the node), and goes on with the next; spare places take the nearest dropped ones. Back
-links are pruned alike. Two passes are made, the second with the relaxed ALPHA.
+to it as to the node), and goes on with the next; spare places take the nearest dropped ones. A node takes
+back links into SLACK spare places, and is pruned alike when they are full. Two passes are made, the second
+with the relaxed ALPHA.
 
 Each stated query is beam-searched in every shard, in blocks of queries; scores are recomputed in
-double precision on the original vectors, and the K best over the shards are kept. Vectors that are
-null, empty, zero, of another length than the first row's shard majority, or hold a null or non-finite
-component take no part, as candidates or as queries. Repeated ids with other vectors are rows of their
-own; a query is never its own result. An empty table gives no rows.
+double precision on the original vectors, and the K best over the shards are kept.
+
+Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part, as
+candidates or as queries, and neither do rows without an id. Vectors of one length are searched among
+themselves: each length has graphs of its own. Rows equal in id and vector count once; rows that share an id
+with other vectors are candidates each, and the least of the vectors is the query of that id. A query is
+never its own result: no row of its id is. Ties go to the smaller id. An empty table gives no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SHARD_ROWS, DEGREE, BEAM, ALPHA, BATCH, QUERY_BLOCK = 4096, 24, 48, 1.2, 256, 256
-SEARCH_BEAM = 96
+SHARD_ROWS, DEGREE, SLACK, BEAM, ALPHA, BATCH, QUERY_BLOCK = 4096, 24, 8, 48, 1.2, 256, 256
+SEARCH_BEAM = 128
 INF = np.float32(np.inf)
 
 
@@ -54,8 +59,9 @@ def beam_search(vectors: np.ndarray, links: np.ndarray, entry: np.ndarray, queri
         done[live, at] = True
         near = links[ids[live, at]]
         fresh = (near >= 0) & ~seen[live[:, None], near]
+        at, slot = np.nonzero(fresh)
+        seen[live[at], near[at, slot]] = True
         near = np.where(fresh, near, 0)
-        seen[live[:, None], near] |= fresh
         s = np.where(fresh, np.einsum("qd,qrd->qr", queries[live], vectors[near]), -INF)
         all_score = np.concatenate((score[live], s), 1)
         all_ids = np.concatenate((ids[live], np.where(fresh, near, -1)), 1)
@@ -96,12 +102,13 @@ def prune(vectors: np.ndarray, nodes: np.ndarray, cand: np.ndarray, alpha: float
 
 
 def build(vectors: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """links (n x DEGREE, -1 where fewer) and entry nodes of the graph over the rows of `vectors`."""
+    """links (n x (DEGREE + SLACK), -1 where fewer) and entry nodes of the graph over the rows of `vectors`."""
     n = len(vectors)
     norms = (vectors.astype(np.float64) ** 2).sum(1)
     x = np.hstack((vectors, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None])).astype(np.float32)
     rng = np.random.default_rng(seed)
-    links = rng.integers(0, n, (n, DEGREE)).astype(np.int32)
+    links = np.full((n, DEGREE + SLACK), -1, np.int32)
+    links[:, :DEGREE] = rng.integers(0, n, (n, DEGREE))
     centre = int(((x - x.mean(0)) ** 2).sum(1).argmin())
     entry = np.unique(np.append(rng.choice(n, min(n, 15), replace=False), centre)).astype(np.int32)
     if n <= DEGREE:
@@ -111,18 +118,27 @@ def build(vectors: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
         for i in range(0, n, BATCH):
             nodes = order[i : i + BATCH]
             found, _ = beam_search(x, links, entry, x[nodes], BEAM)
-            links[nodes] = prune(x, nodes, np.concatenate((found, links[nodes]), 1), alpha)
-            to = links[nodes]
-            src = np.repeat(nodes, DEGREE)[to.ravel() >= 0].astype(np.int32)
-            to = to.ravel()[to.ravel() >= 0]
-            by = np.argsort(to, kind="stable")
-            to, src = to[by], src[by]
+            own = prune(x, nodes, np.concatenate((found, links[nodes]), 1), alpha)
+            links[nodes, :DEGREE], links[nodes, DEGREE:] = own, -1
+            src, to = np.repeat(nodes, DEGREE)[own.ravel() >= 0].astype(np.int32), own[own >= 0]
+            new = ~(links[to] == src[:, None]).any(1)
+            if not new.any():
+                continue
+            by = np.argsort(to[new], kind="stable")
+            to, src = to[new][by], src[new][by]
             target, first, count = np.unique(to, return_index=True, return_counts=True)
+            used = (links[target] >= 0).sum(1)
             nth = np.arange(len(to)) - np.repeat(first, count)
-            back = np.full((len(target), min(int(count.max()), 2 * DEGREE)), -1, np.int32)
-            fits = nth < back.shape[1]
-            back[np.repeat(np.arange(len(target)), count)[fits], nth[fits]] = src[fits]
-            links[target] = prune(x, target, np.concatenate((back, links[target]), 1), alpha)
+            spare = np.repeat(used + count <= links.shape[1], count)
+            links[to[spare], (np.repeat(used, count) + nth)[spare]] = src[spare]
+            full = used + count > links.shape[1]
+            if full.any():
+                back = np.full((len(target), min(int(count.max()), 2 * DEGREE)), -1, np.int32)
+                fits = nth < back.shape[1]
+                back[np.repeat(np.arange(len(target)), count)[fits], nth[fits]] = src[fits]
+                target = target[full]
+                links[target, :DEGREE] = prune(x, target, np.concatenate((back[full], links[target]), 1), alpha)
+                links[target, DEGREE:] = -1
     return links, entry
 
 
@@ -196,8 +212,9 @@ def search(graph: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """vectors(vec_id, vec); is_query: a condition on vec_id."""
-    sound = _sound(vectors.select("vec_id", F.col("vec").cast("array<double>").alias("vec")), "vec").where(F.col("vec_id").isNotNull())
-    return search(cut(index(sound, shard_rows)), sound.where(is_query), k)
+    sound = _sound(vectors.select("vec_id", F.col("vec").cast("array<double>").alias("vec")), "vec").where(F.col("vec_id").isNotNull()).distinct()
+    queries = sound.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return search(cut(index(sound, shard_rows)), queries, k)
 
 
 def query(spark, sf_dir):
