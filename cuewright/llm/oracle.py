@@ -10,11 +10,11 @@ def _quoted(text: str) -> str:
 
 
 def licences() -> str:
-    """op4: words and template words as rows, joined by word and counted by the place they agree on."""
+    """op4: places of whole key phrases by counting words, then each template's words within the drift of theirs."""
     rows = []
     for t, (label, text, key) in enumerate(licenses.TEMPLATES):
         words, need = text.split(), key.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(need)] == need)
+        at = licenses.key_place(words, need)
         rows += [f"({t}, {_quoted(label)}, {len(words)}, {len(need)}, {p}, {_quoted(w)}, {at <= p < at + len(need)})" for p, w in enumerate(words)]
     bases = []
     for phrase, label in licenses.BASE.items():
@@ -27,10 +27,11 @@ WITH texts AS (
 words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM texts),
 template(t, label, n, key_n, p, word, is_key) AS (VALUES {", ".join(rows)}),
 phrase(label, n, p, word) AS (VALUES {", ".join(bases)}),
+keyed AS (SELECT doc_id, t, pos - p AS start FROM words JOIN template USING (word) WHERE is_key GROUP BY doc_id, t, pos - p HAVING count(*) = any_value(key_n)),
 met AS (
-  SELECT doc_id, label, count(*) / any_value(n) AS cover
-  FROM words JOIN template USING (word) WHERE pos >= p GROUP BY doc_id, t, label, pos - p
-  HAVING count(*) / any_value(n) >= {licenses.COVER} AND count(*) FILTER (is_key) = any_value(key_n)),
+  SELECT k.doc_id, label, count(DISTINCT p) / any_value(n) AS cover
+  FROM keyed k JOIN template USING (t) JOIN words w ON w.doc_id = k.doc_id AND w.word = template.word AND w.pos BETWEEN k.start + p - {licenses.DRIFT} AND k.start + p + {licenses.DRIFT}
+  GROUP BY k.doc_id, label, t, k.start HAVING count(DISTINCT p) / any_value(n) >= {licenses.COVER}),
 base AS (SELECT doc_id, label, pos - p AS start FROM words JOIN phrase USING (word) GROUP BY doc_id, label, pos - p HAVING count(*) = any_value(n)),
 based AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
 named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM met) GROUP BY doc_id),

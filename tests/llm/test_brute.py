@@ -106,6 +106,37 @@ def test_licences_by_hand(spark):
     assert got[4]["labels"] == "mit" and got[5]["labels"] == ""  # the second lacks the mandatory phrase
 
 
+def matched(text):
+    """(label, start, cover) of each template whose key phrase stands whole, by looking at every place."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(AZ))
+    for label, template, key in licenses.TEMPLATES:
+        own, need = template.split(), key.split()
+        at = licenses.key_place(own, need)
+        for i in range(len(words)):
+            if words[i : i + len(need)] == need:
+                near = [words[max(0, i - at + p - licenses.DRIFT) : max(0, i - at + p + licenses.DRIFT + 1)] for p in range(len(own))]
+                cover = sum(w in n for w, n in zip(own, near, strict=True)) / len(own)
+                if cover >= licenses.COVER:
+                    yield label, i - at, cover
+
+
+def test_licences_inserted_lost_and_cut_words(spark):
+    whole = [t for _, t, _ in licenses.TEMPLATES]
+    texts = list(whole)
+    for t in whole:
+        words = t.split()
+        half = len(words) // 2
+        texts += [" ".join([*words[:1], "really", *words[1:]]), " ".join(words[:half] + ["um"] * 2 + words[half:]), " ".join(words[1:]), " ".join(words[:-1]), "Some words before: " + t.upper().replace(" ", ", ") + "; after. " + t]
+    texts += ["terms of the gnu lesser general public license", "permission is hereby granted " * 500 + whole[1], ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs, licenses.document_counts(docs)).collect()}
+    for i, text in enumerate(texts):
+        assert [tuple(m) for m in got[i]["matches"]] == sorted(matched(text))
+    assert "lgpl" in got[len(texts) - 3]["labels"]
+    inserted = [got[len(whole) + 5 * k]["labels"] for k in range(len(whole))]
+    assert all(label in own.split(",") for (label, t, key), own in zip(licenses.TEMPLATES, inserted, strict=True) if not t.startswith(key[: key.index(" ")]))
+
+
 def base_numbers(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     tri = Counter(zip(words, words[1:], words[2:], strict=False))
@@ -229,7 +260,7 @@ def test_every_source_is_less_than_a_block_off_its_target(spark):
 
 def test_gapless_rank_in_buckets(spark):
     rows = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 3 = 0, NULL, id % 2) AS g")
-    ranked = common.gapless_rank(rows, ["g"], F.xxhash64("doc_id"), ["doc_id"], 10_000_000, "r").collect()
+    ranked = common.gapless_rank(rows, ["g"], F.xxhash64("doc_id"), ["doc_id"], "r", per_bucket=16).collect()
     by = defaultdict(list)
     for r in ranked:
         by[r["g"]].append(r["r"])
