@@ -166,7 +166,7 @@ def test_fertility_counts_of_odd_texts():
 def test_packing_round_trip(spark, sf):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(packing.TOKENIZER)
+    tokenizer = Tokenizer.from_file(packing.public(packing.TOKENIZER))
     docs = documents(spark, sf)
     cut = common.cut(packing.pieces(docs, with_ids=True))
     rows = packing.pack(cut).collect()
@@ -193,10 +193,36 @@ def test_packing_round_trip(spark, sf):
     assert len(used) <= len(free)
 
 
+def test_no_more_sequences_than_sequential_best_fit(spark):
+    """Lengths of several kinds, one length with many pieces (ranked in several buckets), all short, all long."""
+    rng = np.random.default_rng(5)
+    kinds = [rng.integers(1, 65, 2000), np.append(np.full(900, 30), rng.integers(10, 40, 300)), [64] * 70]
+    bucket, packing.BUCKET = packing.BUCKET, 100
+    try:
+        for lengths in kinds:
+            rows = common.cut(spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "id long, length int"))
+            got = packing.best_fit(rows, cap=64).collect()
+            assert sorted((r["id"], r["length"]) for r in got) == list(enumerate(lengths))
+            used = Counter()
+            for r in sorted(got, key=lambda r: (r["seq"], r["offset"])):
+                assert r["offset"] == used[r["seq"]]
+                used[r["seq"]] += r["length"]
+            free = []
+            for n in sorted(lengths, reverse=True):
+                fits = [i for i, g in enumerate(free) if g >= n]
+                if fits:
+                    free[min(fits, key=free.__getitem__)] -= n
+                else:
+                    free.append(64 - n)
+            assert max(used.values()) <= 64 and len(used) <= len(free)
+    finally:
+        packing.BUCKET = bucket
+
+
 def test_both_vocabulary_files_give_the_same_ids():
     from tokenizers import Tokenizer
 
-    plain, fast = Tokenizer.from_file(packing.TOKENIZER), fertility.encoding(open(packing.RANKS, "rb").read())
+    plain, fast = Tokenizer.from_file(packing.public(packing.TOKENIZER)), fertility.encoding(open(packing.public(packing.RANKS), "rb").read())
     points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
     for i in range(0, len(points), 64):
         text = "".join(f"a{chr(c)}b1{chr(c)} {chr(c)}." for c in points[i : i + 64])
