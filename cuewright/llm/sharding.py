@@ -6,9 +6,13 @@ block permutes its rows and deals them out by its line of the matrix; after the
 permutes again, in buckets so that no shard is gathered in one task. Only the blocks' sizes reach the
 driver: one number for each PER_BLOCK rows.
 
-Law: `rows` (shard sizes at most one apart). Everything follows from content and seed, so a task that
-runs again gives the same rows. Defined results: null text counts as empty; rows equal in doc_id and
-text are interchangeable and each get their own slot; an empty table gives no rows.
+Blocks are classes of a content hash, not the partitions as they lie: so shard and slot follow from content
+and seed alone, and a task that runs again, or a table that is laid out otherwise, gives the same rows.
+
+Law: `rows` (shard sizes at most one apart). Defined results: null text counts as empty; very long texts
+count with all their bytes; rows equal in doc_id and text are interchangeable and each get their own slot;
+an empty table gives no rows. Other columns pass through whatever their names; those named like an output
+are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gapless_rank
+from .common import free, gapless_rank
 
 PER_BLOCK = 50_000
 
@@ -80,15 +84,16 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     docs = docs.drop("shard", "slot", *digests).withColumns(digests)
     n = docs.count()
     n_blocks = max(1, -(-n // PER_BLOCK), min(32, n))
-    docs = docs.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32"), F.lit(n_blocks)))
-    sizes = {r[0]: r[1] for r in docs.groupBy("_block").count().collect()}  # n_blocks rows
-    lines = matrix([sizes.get(b, 0) for b in range(n_blocks)], shards, seed)
-    ends = [(b, [int(x) for x in np.cumsum(line)]) for b, line in enumerate(lines)]
-    dealt = spark.createDataFrame(ends, "_b long, _ends array<long>")
-    local = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "text_crc32"), "doc_id", "text_crc32")
-    rows = docs.withColumn("_rank", F.row_number().over(local) - 1).join(dealt, F.col("_block") == F.col("_b"))
-    rows = rows.withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))).cast("int")).drop("_b", "_ends", "_rank", "_block")
-    return gapless_rank(rows, ["shard"], F.xxhash64(F.lit(seed + 2), "doc_id", "text_crc32"), ["doc_id", "text_crc32"], n, "slot")
+    block, rank, b, upto = free(docs, "_block", "_rank", "_b", "_ends")
+    docs = docs.withColumn(block, F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32"), F.lit(n_blocks)))
+    sizes = {r[0]: r[1] for r in docs.groupBy(block).count().collect()}  # n_blocks rows
+    lines = matrix([sizes.get(k, 0) for k in range(n_blocks)], shards, seed)
+    ends = [(k, [int(x) for x in np.cumsum(line)]) for k, line in enumerate(lines)]
+    dealt = spark.createDataFrame(ends, f"{b} long, {upto} array<long>")
+    local = Window.partitionBy(block).orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "text_crc32"), "doc_id", "text_crc32")
+    rows = docs.withColumn(rank, F.row_number().over(local) - 1).join(dealt, F.col(block) == F.col(b))
+    rows = rows.withColumn("shard", F.size(F.filter(upto, lambda e: e <= F.col(rank))).cast("int")).drop(b, upto, rank, block)
+    return gapless_rank(rows, ["shard"], F.xxhash64(F.lit(seed + 2), "doc_id", "text_crc32"), ["doc_id", "text_crc32"], "slot")
 
 
 def query(spark, sf_dir):
