@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, gapless_rank, keyed, release, spread
-from .fertility import PATTERN, encoding
+from .fertility import encoding, public
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Rows of one size that are ranked in one task.
@@ -45,13 +45,6 @@ def piece_bounds(n: int, cap: int = CAP) -> list[tuple[int, int]]:
     return [(0, first), *((s, cap) for s in range(first, n, cap))]
 
 
-def public(name: str) -> str:
-    """The file of a public vocabulary."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def pieces(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, cap: int = CAP, with_ids: bool = False, order: str | None = None) -> DataFrame:
     """doc_id (and order), piece, start, length, ids_crc32 (and ids) for each piece.
 
