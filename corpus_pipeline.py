@@ -3,6 +3,12 @@
 Language identification drops documents that it rejects; tokeniser-fertility rules drop documents that
 fail; of each group of near-duplicates the document with the smallest doc_id stays; the rest are put in
 the order of a Pfair mix of their sources; and best-fit packing gives the pieces of that corpus.
+
+Every stage decides by row, not by doc_id. Defined results: a null text is an empty one, without a letter, so
+the first stage rejects it (given to `pack` alone, it is one piece, the end token); a null doc_id, lang or
+source is a value like any other; very long texts go through whole; rows that repeat are judged each and
+alike, and one stays in `deduplicate`; extra columns pass through the first four stages whatever their
+names; an empty table gives none, and `pack` no pieces.
 """
 
 from __future__ import annotations
