@@ -55,7 +55,7 @@ def _terms(s, d):
 
 
 def _sents(s, d):
-    return _t(s, d, "documents").select(F.col("doc_id").alias("id"), F.filter(F.transform(F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\u0001"), "\u0001"), F.trim), lambda x: x != "").alias("sents"))
+    return _t(s, d, "documents").select(F.col("doc_id").alias("id"), F.filter(F.transform(F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda x: F.trim(x)), lambda x: x != "").alias("sents"))
 
 
 def _n(df: DataFrame, *by) -> DataFrame:
