@@ -19,18 +19,29 @@ SHAPES = {
     "stakes": START + r"(cost|lost|lose|losing|ruin|destroy|kill|fail|failed|broke|divorce|quit)" + END,
 }
 #: Markers that speech opens with and titles do not.
-MARKERS = r"^[^\p{L}\p{N}_]*(?:so|and|but|okay|ok|well|now|yeah|yes|right|look|listen|see|like|anyway|anyways|basically|honestly|actually|i mean|you know|um|uh|er)(?:[\s,]+|$)"
+MARKERS = r"^[^\p{L}\p{N}_]*(?:so|and|but|okay|ok|well|now|yeah|yes|right|look|listen|see|like|anyway|anyways|basically|honestly|actually|i mean|you know|um|uh|er)"
 #: Tags of entertainment.
 NOISE = r"#(funny|comedy|skit|prank|meme|viral|trending|fyp|shorts?|explore|dailyvlog|minivlog)"
 WORDS = r"[a-z']+"
 TERMINAL = r"[.!?]$"
 
 
+def free_names(df, *stems: str) -> list[str]:
+    """A name for each stem that no column of `df` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def strip_markers(text: Column, rounds: int = 3) -> Column:
     """Without up to `rounds` leading markers, but never without everything."""
     out = F.ltrim(text)
     for _ in range(rounds):
-        less = F.ltrim(F.regexp_replace(out, "(?i)" + MARKERS, ""))
+        less = F.ltrim(F.regexp_replace(out, "(?i)" + MARKERS + r"(?![\p{L}\p{N}_])[\s,]*", ""))
         out = F.when(less == "", out).otherwise(less)
     return out
 
@@ -78,9 +89,10 @@ def seconds(text: Column) -> Column:
 
 
 def timecode(s: Column) -> Column:
-    """Seconds -> m:ss.s"""
-    tenths = F.floor(s * 10 + 0.5)
-    return F.concat(F.floor(tenths / 600).cast("string"), F.lit(":"), F.lpad(F.floor((tenths % 600) / 10).cast("string"), 2, "0"), F.lit("."), (tenths % 10).cast("string"))
+    """Seconds -> mm:ss.s, from an hour on h:mm:ss.s."""
+    minutes, rest = F.floor(s / 60).cast("bigint"), F.lpad(F.format_number(s % 60, 1), 4, "0")
+    two = F.lpad((minutes % 60).cast("string"), 2, "0")
+    return F.when(minutes >= 60, F.concat_ws(":", F.floor(minutes / 60).cast("string"), two, rest)).otherwise(F.concat_ws(":", two, rest))
 
 
 def stamp(s: Column) -> Column:
@@ -95,7 +107,9 @@ def slug(text: Column) -> Column:
 
 
 def snip(text: Column, n: int) -> Column:
-    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
+    """At most n characters: without blanks around, cut one short of n and marked."""
+    own = F.trim(text)
+    return F.when(F.length(own) > n, F.concat(F.rtrim(F.substring(own, 1, n - 1)), F.lit("..."))).otherwise(own)
 
 
 def bitrate(width: Column, height: Column, crf: Column) -> Column:

@@ -70,24 +70,35 @@ def chunks(words_: DataFrame, size: int = 4) -> DataFrame:
     return cards.withColumn("end", F.least(held, F.col("start") + 3.0)).where("end > start")
 
 
-def group_cards(words_: DataFrame, least: int = 2, most: int = 4, pause: float = 0.8) -> DataFrame:
-    """Cards of at most `most` words that stop at sentence ends and pauses; a stranded last word takes
-    one more word from a full card before it. Sequential by nature: grouped by recording."""
+def group_cards(words_: DataFrame, least: int = 2, most: int = 4, pause: float = 0.45) -> DataFrame:
+    """Cards of at most `most` words that stop at sentence ends, pauses and changes of speaker (`turn`, if there).
+
+    A lone word joins the card before it where nothing hard divides them and there is room; one that is
+    still alone takes a word from a card of more than `least`. Closing quotes may follow a mark. Each cut
+    rests on the one before: grouped by recording.
+    """
+    words_ = words_ if "turn" in words_.columns else words_.withColumn("turn", F.lit(False))
 
     def run(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(["cue", "pos"])
-        word, t0, t1 = (pdf[c].tolist() for c in ("word", "t0", "t1"))
+        word, t0, t1, turn = (pdf[c].tolist() for c in ("word", "t0", "t1", "turn"))
         ends, size = [], 0
         for k, w in enumerate(word):
             size += 1
             last = k + 1 == len(word)
-            hard = last or w[-1:] in ".!?" or t0[k + 1] - t1[k] > pause
-            if hard or size >= most or (w[-1:] in ",;:" and size >= least):
+            mark = w.rstrip("\"')]”’")[-1:]
+            hard = last or (mark and mark in ".!?") or t0[k + 1] - t1[k] > pause or bool(turn[k + 1])
+            if hard or size >= most or (mark and mark in ",;:—-" and size >= least):
                 ends.append((k + 1, hard))
                 size = 0
-        bounds = [[a, b, h] for a, (b, h) in zip([0, *[e for e, _ in ends]], ends, strict=False)]
+        bounds = []
+        for a, (b, h) in zip([0, *[e for e, _ in ends]], ends, strict=False):
+            if bounds and b - a == 1 and not bounds[-1][2] and bounds[-1][1] - bounds[-1][0] < most:
+                bounds[-1][1:] = [b, h]
+            else:
+                bounds.append([a, b, h])
         for before, own in zip(bounds, bounds[1:], strict=False):
             if own[1] - own[0] == 1 and not before[2] and before[1] - before[0] > least:
                 before[1] = own[0] = own[0] - 1

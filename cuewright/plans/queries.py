@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import cohort, intervals, rules, similarity, timed
 from ..sources import transcripts
+from . import speech
 
 DAY, HOUR = 86400.0, 3600.0
 #: Words of the languages at hand that say nothing of a topic.
@@ -68,7 +69,7 @@ m AS (SELECT *, row_number() OVER (PARTITION BY format ORDER BY views DESC, id)
 _q = lambda p: p.replace("'", "''")
 _strip = "ltrim(title)"
 for _ in range(3):
-    _strip = f"(SELECT CASE WHEN b = '' THEN a ELSE b END FROM (SELECT a, ltrim(regexp_replace(a, '{_q(X.MARKERS)}', '', 'i')) AS b FROM (SELECT {_strip} AS a)))"
+    _strip = f"(SELECT CASE WHEN b = '' THEN a ELSE b END FROM (SELECT a, ltrim(regexp_replace(a, '{_q(X.MARKERS)}\\b[\\s,]*', '', 'i')) AS b FROM (SELECT {_strip} AS a)))"
 _shape = lambda n: f"(regexp_matches(title, '{_q(X.SHAPES[n])}', 'i') OR regexp_matches(stripped, '{_q(X.SHAPES[n])}', 'i'))"
 LIFT = "WITH " + MARK + f", st AS (SELECT *, {_strip} AS stripped FROM m), x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS shape, count(*) FILTER (winner) AS w, count(*) FILTER (NOT winner) AS r, count(*) FILTER (winner AND {_shape(n)}) AS winners_using_it, count(*) FILTER (NOT winner AND {_shape(n)}) AS rest_using_it FROM st" for n in X.SHAPES) + """)
 SELECT *, (winner_rate + 0.01e0) / (rest_rate + 0.01e0) AS lift, winners_using_it >= 6 AND (winner_rate + 0.01e0) / (rest_rate + 0.01e0) >= 1.25e0 AS recommend
@@ -97,9 +98,22 @@ def _over(s, d):
     return cohort.over_represented(cohort.winners(_videos(s, d)), STOP)
 
 
+def _counted(df, by, value):
+    """by, value, k, upto and total: rows of each value, so that windows hold a row for each value and not each row."""
+    w = Window.partitionBy(by)
+    upto = F.sum("k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return df.groupBy(by, value).agg(F.count("*").alias("k")).withColumn("upto", upto).withColumn("total", F.sum("k").over(w))
+
+
 def _percentile(s, d):
-    p = F.floor(100 * F.cume_dist().over(Window.partitionBy("lang").orderBy("n_chars")) + 0.5).cast("bigint")
-    return _t(s, d, "documents").select("doc_id", p.alias("percentile"))
+    docs = _t(s, d, "documents")
+    ranks = _counted(docs, "lang", "n_chars").select(F.col("lang").alias("g"), F.col("n_chars").alias("v"), F.floor(100 * F.col("upto") / F.col("total") + 0.5).cast("bigint").alias("percentile"))
+    return docs.join(ranks, F.col("lang").eqNullSafe(F.col("g")) & F.col("n_chars").eqNullSafe(F.col("v")), "left").select("doc_id", "percentile")
+
+
+def _upper_median(s, d):
+    counts = _counted(_t(s, d, "documents"), "source", "n_chars").where(F.col("upto") >= F.floor(F.col("total") / 2) + 1)
+    return counts.groupBy("source").agg(F.first("total").alias("n"), F.min("n_chars").alias("upper_median"))
 
 
 def _coverage(s, d):
@@ -107,12 +121,6 @@ def _coverage(s, d):
     return own.groupBy("id").agg(F.sum(F.col("e") - F.col("s")).alias("covered"), F.count("*").alias("parts"), (F.max("e") - F.min("s")).alias("extent"))
 
 
-def _locate(s, d):
-    tape = _tape(s, d).withColumn("ord", F.row_number().over(Window.partitionBy("id").orderBy("s")))
-    first = tape.where("ord = 1").select(F.col("id").alias("ord"), "s", "e", F.lit(0.0).alias("base"))
-    return intervals.locate(_events(s, d).select(F.col("event").alias("p"), "t"), first, HOUR)
-
-
 def _locate_all(s, d):
     """Points among all sessions, numbered by start and user: the earliest that holds the point.
 
@@ -144,10 +152,13 @@ def _band(s, d):
 
 
 def _prefix(s, d):
-    """Names and types of parts with words equal, or both of four letters and one the other's beginning."""
-    side = lambda c, x: _t(s, d, "part").select("p_partkey", F.explode(F.array_distinct(X.words(F.col(c)))).alias(x)).where(F.length(x) >= 4).withColumn("k", F.substring(x, 1, 4))
-    hit = side("p_name", "a").join(side("p_type", "b"), ["p_partkey", "k"]).where("startswith(a, b) or startswith(b, a)")
-    return hit.select("p_partkey", "a", "b")
+    """Names and types of parts with words equal, or both of four letters and one the other's beginning.
+
+    Words of two letters and more; equal words and prefixes share their first four letters, so these are the key.
+    """
+    side = lambda c, x: _t(s, d, "part").select("p_partkey", F.explode(F.array_distinct(X.words(F.col(c)))).alias(x)).where(F.length(x) >= 2).withColumn("k", F.substring(x, 1, 4))
+    hit = side("p_name", "a").unionByName(side("p_brand", "a")).distinct().join(side("p_type", "b").unionByName(side("p_brand", "b")).distinct(), ["p_partkey", "k"])
+    return hit.where("a = b or (length(a) >= 4 and length(b) >= 4 and (startswith(a, b) or startswith(b, a)))").select("p_partkey", "a", "b")
 
 
 def _phrases(s, d):
@@ -171,10 +182,19 @@ def _phrases(s, d):
 
 
 def _clip(s, d):
-    out = rules.clip_faults(_sents(s, d)).select("verdict", F.explode("faults").alias("f"))
+    # outer: an inner explode would make the optimiser run every rule twice, as a filter
+    out = rules.clip_faults(_sents(s, d)).select("verdict", F.explode_outer("faults").alias("f"))
     return _n(out.select("verdict", "f.fault", "f.severity"), "verdict", "fault", "severity")
 
 
+def _spoken_clips(s, d):
+    """Each customer's orders speak a clip."""
+    said = speech.said(s, d).groupBy(F.col("rec").alias("id")).agg(F.array_sort(F.collect_list(F.struct("sid", "text"))).alias("x"))
+    clips = said.select("id", F.transform("x", lambda x: x["text"]).alias("sents"))
+    out = rules.clip_faults(clips).select("id", "verdict", F.explode_outer("faults").alias("f"))
+    return out.select("id", "verdict", "f.fault", "f.severity", "f.evidence")
+
+
 def _cards(s, d):
     cards = timed.chunks(_words(s, d))
     return rules.card_faults(cards.withColumn("following", F.lead("start").over(Window.partitionBy("rec").orderBy("cue", "card"))), most=3, longest=2.0).groupBy("kind").agg(F.count("*").alias("n"))
@@ -237,7 +257,17 @@ def _session(s, d):
 QUERIES = {
     "w1_winners": (lambda s, d: cohort.winners(_videos(s, d)).select("id", "format", "winner"), "WITH " + MARK + " SELECT id, format, winner FROM m"),
     "a2_hook_lift": (lambda s, d: cohort.shape_rates(cohort.winners(_videos(s, d))), LIFT),
-    "a4_over_represented": (_over, "WITH " + MARK + f", wd AS (SELECT DISTINCT id, winner, unnest(regexp_extract_all(lower(title), '[a-z'']+')) AS word FROM m), dw AS (SELECT * FROM wd WHERE length(word) > 2 AND word NOT IN ({', '.join(repr(w) for w in STOP)})), t AS (SELECT greatest(1, count(*) FILTER (winner)) AS tw, greatest(1, count(*) FILTER (NOT winner)) AS tr FROM dw), k AS (SELECT word, count(*) FILTER (winner) AS in_winners, count(*) FILTER (NOT winner) AS in_rest FROM dw GROUP BY word HAVING count(*) FILTER (winner) >= 3) SELECT word, in_winners, round(ln(((in_winners + 1) / tw) / ((in_rest + 1) / tr)), 6) AS lift FROM k, t ORDER BY lift DESC, in_winners DESC, word DESC LIMIT 12"),
+    "a4_over_represented": (
+        _over,
+        "WITH " + MARK + f""",
+        p AS (SELECT id, winner, regexp_extract_all(lower(title), '[a-z'']+') AS ws,
+            list_transform(regexp_extract_all(regexp_replace(title, '([a-z,]) ', '\\1 ~', 'g'), '~([A-Z][a-z]{{2,}})', 1), lambda x: lower(x)) AS proper FROM m),
+        wd AS (SELECT DISTINCT id, winner, unnest(list_filter(ws, lambda w: NOT list_contains(proper, w))) AS word FROM p),
+        dw AS (SELECT * FROM wd WHERE length(word) > 2 AND word NOT IN ({', '.join(repr(w) for w in STOP)})),
+        t AS (SELECT greatest(1, count(*) FILTER (winner)) AS tw, greatest(1, count(*) FILTER (NOT winner)) AS tr FROM dw),
+        k AS (SELECT word, count(*) FILTER (winner) AS in_winners, count(*) FILTER (NOT winner) AS in_rest FROM dw GROUP BY word HAVING count(*) FILTER (winner) >= 3)
+        SELECT word, in_winners, round(ln(((in_winners + 1) / tw) / ((in_rest + 1) / tr)), 2) AS lift FROM k, t ORDER BY lift DESC, in_winners DESC, word DESC LIMIT 12""",
+    ),
     "a5_profile": (lambda s, d: cohort.profile(_videos(s, d)), "WITH " + MARK + ", j AS (SELECT v.*, m.winner FROM v LEFT JOIN m USING (id)) SELECT count(*) AS videos, count(*) FILTER (winner) AS winners, count(*) FILTER (winner IS NULL) AS dropped, count(*) >= 25 AS confident, quantile_cont(views, 0.5) AS median_all, quantile_cont(views, 0.5) FILTER (winner) AS median_winners FROM j"),
     "a6_quantiles": (lambda s, d: cohort.quantiles(_t(s, d, "documents"), "lang", "n_chars"), "SELECT lang, " + ", ".join(f"quantile_cont(n_chars, {p / 100}) AS p{p}" for p in (10, 25, 50, 75, 90)) + ", min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY lang"),
     "a15_percentile": (_percentile, "SELECT doc_id, CAST(floor(100 * cume_dist() OVER (PARTITION BY lang ORDER BY n_chars) + 0.5e0) AS BIGINT) AS percentile FROM documents"),
@@ -254,22 +284,30 @@ QUERIES = {
     "w21_ngrams": (lambda s, d: _n(_words(s, d).withColumn("gram", F.concat_ws(" ", F.lower("word"), F.lower(F.lead("word").over(Window.partitionBy("rec", "cue").orderBy("pos"))))).where("gram like '% %'"), "gram"), "WITH " + WORD + ", g AS (SELECT lower(word) || ' ' || lower(lead(word) OVER (PARTITION BY rec, cue ORDER BY pos)) AS gram FROM words) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY gram"),
     "w25_islands": (lambda s, d: intervals.islands(_padded(s, d)), "WITH " + TAPE + ", " + ISLE + " SELECT id, s, e FROM isle"),
     "u3_subtract": (lambda s, d: intervals.gaps(_month(s, d), _padded(s, d)), "WITH " + TAPE + ", " + ISLE + ", sp AS (SELECT u AS id, min(t) AS lo, max(t) AS hi FROM ev GROUP BY u), cl AS (SELECT id, greatest(s, lo) AS s, least(e, hi) AS e, lo, hi FROM isle JOIN sp USING (id) WHERE least(e, hi) > greatest(s, lo)), lf AS (SELECT id, coalesce(lag(e) OVER (PARTITION BY id ORDER BY s), lo) AS s, s AS e FROM cl), al AS (SELECT * FROM lf UNION ALL SELECT id, max(e), max(hi) FROM cl GROUP BY id UNION ALL SELECT id, lo, hi FROM sp WHERE id NOT IN (SELECT id FROM cl)) SELECT id, s, e FROM al WHERE e > s"),
-    "u4_intersect": (lambda s, d: intervals.overlaps(intervals.islands(_padded(s, d)), _month(s, d).where("id % 2 = 1"), 6 * HOUR).groupBy("id_b").agg(F.count("*").alias("parts"), F.sum(F.col("e") - F.col("s")).alias("seconds")), "WITH " + TAPE + ", " + ISLE + ", mo AS (SELECT u AS id, min(t) AS s, max(t) AS e FROM ev WHERE u % 2 = 1 GROUP BY u) SELECT m.id AS id_b, count(*) AS parts, sum(least(a.e, m.e) - greatest(a.s, m.s)) AS seconds FROM isle a JOIN mo m ON a.s < m.e AND m.s < a.e GROUP BY m.id"),
-    "u4_intersect_all": (_intersect_all, "WITH " + TAPE + ", " + ISLE + ", mo AS (SELECT u AS id, min(t) AS s, max(t) AS e FROM ev GROUP BY u) SELECT m.id AS id_b, count(*) AS parts, sum(least(a.e, m.e) - greatest(a.s, m.s)) AS seconds FROM isle a JOIN mo m ON a.s < m.e AND m.s < a.e GROUP BY m.id"),
+    "u4_intersect": (_intersect_all, "WITH " + TAPE + ", " + ISLE + ", mo AS (SELECT u AS id, min(t) AS s, max(t) AS e FROM ev GROUP BY u) SELECT m.id AS id_b, count(*) AS parts, sum(least(a.e, m.e) - greatest(a.s, m.s)) AS seconds FROM isle a JOIN mo m ON a.s < m.e AND m.s < a.e GROUP BY m.id"),
     "j1_shared_tape": (lambda s, d: intervals.shared(_tape(s, d).select("id", "s", "e"), 4 * HOUR).where("seconds > 1.0"), "WITH " + TAPE + " SELECT a.id AS id_a, b.id AS id_b, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS seconds, count(*) AS parts, max(least(a.e, b.e) - greatest(a.s, b.s)) AS longest FROM tape a JOIN tape b ON a.id < b.id AND a.s < b.e AND b.s < a.e GROUP BY ALL HAVING sum(least(a.e, b.e) - greatest(a.s, b.s)) > 1.0"),
     "j2_unmerged": (lambda s, d: intervals.shared(_padded(s, d), 8 * HOUR, merge=False).where("seconds >= 10.0"), "WITH " + TAPE + ", " + LONG + " SELECT a.id AS id_a, b.id AS id_b, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS seconds, count(*) AS parts, max(least(a.e, b.e) - greatest(a.s, b.s)) AS longest FROM lng a JOIN lng b ON a.id < b.id AND a.s < b.e AND b.s < a.e GROUP BY ALL HAVING sum(least(a.e, b.e) - greatest(a.s, b.s)) >= 10.0"),
     "j4_forbidden_ranges": (lambda s, d: intervals.without(_events(s, d).select(F.col("event").alias("id"), (F.col("t") - 60).alias("s"), (F.col("t") + 60).alias("e")), _tape(s, d).where("n >= 5").select("id", "s", "e"), HOUR).select("id"), "WITH " + TAPE + " SELECT event_id AS id FROM ev WHERE NOT EXISTS (SELECT 1 FROM tape f WHERE f.n >= 5 AND t - 60 < f.e AND f.s < t + 60)"),
     "j5_forbidden_phrases": (_phrases, "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
-    "j6_point_in_interval": (_locate, "WITH " + TAPE + ", o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s) AS k FROM tape), f AS (SELECT id AS ord, s, e FROM o WHERE k = 1), h AS (SELECT event_id AS p, ord, t - s AS \"at\", row_number() OVER (PARTITION BY event_id ORDER BY ord) AS r FROM ev JOIN f ON t >= s AND t <= e) SELECT p, ord, \"at\" FROM h WHERE r = 1"),
-    "j6_point_in_any": (_locate_all, "WITH " + TAPE + ", f AS (SELECT row_number() OVER (ORDER BY s, id) AS ord, s, e FROM tape), h AS (SELECT event_id AS p, ord, t - s AS \"at\", row_number() OVER (PARTITION BY event_id ORDER BY ord) AS r FROM ev JOIN f ON t >= s AND t <= e) SELECT p, ord, \"at\" FROM h WHERE r = 1"),
-    "j12_keyword_prefix": (_prefix, "WITH a AS (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(p_name), '[a-z'']+')) AS a FROM part), b AS (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(p_type), '[a-z'']+')) AS b FROM part) SELECT p_partkey, a, b FROM a JOIN b USING (p_partkey) WHERE length(a) >= 4 AND length(b) >= 4 AND (starts_with(a, b) OR starts_with(b, a))"),
+    "j6_point_in_interval": (_locate_all, "WITH " + TAPE + ", f AS (SELECT row_number() OVER (ORDER BY s, id) AS ord, s, e FROM tape), h AS (SELECT event_id AS p, ord, t - s AS \"at\", row_number() OVER (PARTITION BY event_id ORDER BY ord) AS r FROM ev JOIN f ON t >= s AND t <= e) SELECT p, ord, \"at\" FROM h WHERE r = 1"),
+    "j12_keyword_prefix": (
+        _prefix,
+        """WITH a AS (SELECT p_partkey, unnest(regexp_extract_all(lower(concat_ws(' ', p_name, p_brand)), '[a-z'']+')) AS a FROM part),
+        b AS (SELECT p_partkey, unnest(regexp_extract_all(lower(concat_ws(' ', p_type, p_brand)), '[a-z'']+')) AS b FROM part)
+        SELECT DISTINCT p_partkey, a, b FROM a JOIN b USING (p_partkey)
+        WHERE length(a) >= 2 AND (a = b OR (length(a) >= 4 AND length(b) >= 4 AND (starts_with(a, b) OR starts_with(b, a))))""",
+    ),
     "j13_carry_labels": (_carry, "SELECT lang, count(*) AS n, CAST(sum(coalesce(quality, 0)) AS BIGINT) AS good, count(*) FILTER (quality IS NULL) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang"),
     "j17_band_join": (_band, "WITH " + WORD + ' SELECT c.rec, c.e AS cut, count(*) FILTER ((t0 + t1) / 2 <= c.e) AS before, count(*) FILTER ((t0 + t1) / 2 > c.e) AS after FROM cues c JOIN words w ON c.rec = w.rec AND (t0 + t1) / 2 BETWEEN c.e - 20 AND c.e + 20 GROUP BY c.rec, c.e'),
-    "j20_unrendered": (lambda s, d: _t(s, d, "customer").join(_t(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name"), "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "j20_unrendered": (
+        lambda s, d: _t(s, d, "documents").join(_t(s, d, "labels"), "doc_id", "left_anti").select("doc_id", "source"),
+        "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
+    ),
     "a23_coverage": (_coverage, "WITH " + TAPE + ", " + ISLE + " SELECT id, sum(e - s) AS covered, count(*) AS parts, max(e) - min(s) AS extent FROM isle GROUP BY id"),
-    "a24_upper_median": (lambda s, d: _t(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.element_at(F.sort_array(F.collect_list("n_chars")), F.floor(F.count("*") / 2).cast("int") + 1).alias("upper_median")), "SELECT source, count(*) AS n, list_sort(list(n_chars))[count(*) // 2 + 1] AS upper_median FROM documents GROUP BY source"),
+    "a24_upper_median": (_upper_median, "SELECT source, count(*) AS n, list_sort(list(n_chars))[count(*) // 2 + 1] AS upper_median FROM documents GROUP BY source"),
     "t2_best_end": (_best_end, "WITH " + TAPE + f", r AS (SELECT DISTINCT a.id, a.s, b.e AS e2 FROM tape a JOIN tape b ON a.id = b.id AND b.s >= a.s AND b.e - a.s <= {2 * DAY}), sc AS (SELECT *, CAST(count(*) OVER (PARTITION BY id, s ORDER BY e2) * 10 - floor((e2 - s) / {HOUR}) AS BIGINT) AS score FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY id, s ORDER BY score DESC, e2 - s) AS k FROM sc) SELECT id, s, e2 AS e, score FROM p WHERE k = 1"),
-    "g1_clip_faults": (_clip, None),
+    "g1_clip_faults": (_clip, f"WITH {SENT}, clips AS (SELECT id, sents FROM sn), {speech.CLIP_RULES} SELECT verdict, fault, severity, count(*) AS n FROM faulted GROUP BY ALL"),
+    "g1_spoken_clips": (_spoken_clips, f"WITH {speech.SAID}, clips AS (SELECT rec AS id, list(text ORDER BY sid) AS sents FROM said GROUP BY rec), {speech.CLIP_RULES} SELECT id, verdict, fault, severity, evidence FROM faulted"),
     "g5_card_faults": (_cards, None),
     "t3_greedy_ranges": (_greedy, None),
     "w11_group_cards": (lambda s, d: timed.group_cards(_words(s, d)), None),
@@ -279,14 +317,19 @@ QUERIES = {
     "stream_sessions": (_session, "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '4 hours' THEN 0 ELSE 1 END AS new FROM events) SELECT user_id, CAST(sum(new) AS BIGINT) AS sessions, count(*) AS events FROM e GROUP BY user_id"),
     "p11_has_sentence": (lambda s, d: _t(s, d, "documents").select("doc_id", X.has_sentence(F.col("text")).alias("ok"), X.is_noise(F.col("text")).alias("noise")), f"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '#[A-Za-z0-9_]+', ' ', 'g'), '[A-Za-z'']{{2,}}')) >= 3 AS ok, regexp_matches(text, '{X.NOISE}', 'i') OR (len(regexp_extract_all(text, '#[A-Za-z0-9_]+')) >= 3 AND len(regexp_extract_all(regexp_replace(text, '#[A-Za-z0-9_]+', ' ', 'g'), '[A-Za-z'']+')) <= 6) AS noise FROM documents"),
     "f24_slugs": (lambda s, d: _t(s, d, "part").select("p_partkey", X.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug")), "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part"),
-    "f6_timecodes": (lambda s, d: _t(s, d, "events").where("value >= 0").select("event_id", X.timecode(F.col("value")).alias("timecode")), "SELECT event_id, CAST(CAST(floor(floor(value * 10 + 0.5e0) / 600) AS BIGINT) AS VARCHAR) || ':' || lpad(CAST(CAST(floor((CAST(floor(value * 10 + 0.5e0) AS BIGINT) % 600) / 10) AS BIGINT) AS VARCHAR), 2, '0') || '.' || CAST(CAST(floor(value * 10 + 0.5e0) AS BIGINT) % 10 AS VARCHAR) AS timecode FROM events WHERE value >= 0"),
+    "f6_timecodes": (
+        lambda s, d: _t(s, d, "events").select("event_id", X.timecode(F.abs("value") * 70).alias("timecode"), X.snip(F.concat_ws(" ", "event_type", F.col("ts").cast("date").cast("string"), "props"), 24).alias("snip")),
+        """WITH v AS (SELECT event_id, abs(value) * 70 AS v, trim(concat_ws(' ', event_type, CAST(CAST(ts AS DATE) AS VARCHAR), props)) AS t FROM events)
+        SELECT event_id, CASE WHEN v >= 3600 THEN CAST(CAST(floor(v / 3600) AS INT) AS VARCHAR) || ':' ELSE '' END || lpad(CAST(CAST(floor(v / 60) AS INT) % 60 AS VARCHAR), 2, '0') || ':' || printf('%04.1f', v % 60) AS timecode,
+            CASE WHEN length(t) <= 24 THEN t ELSE rtrim(t[1:23]) || '...' END AS snip FROM v""",
+    ),
     "m7_bitrate": (lambda s, d: _t(s, d, "part").select("p_partkey", F.round(X.bitrate(F.col("p_size") * 40.0, F.lit(1080.0), F.col("p_size").cast("double")), 6).alias("mbit")), "SELECT p_partkey, round(greatest(2e0, least(60e0, 12e0 * p_size * 40 * 1080 / (1080e0 * 1920) * pow(2e0, (18 - p_size) / 6e0))), 6) AS mbit FROM part"),
 }
 
 
 def queries() -> dict:
-    return {name: q for name, (q, _) in QUERIES.items()}
+    return {name: q for name, (q, _) in QUERIES.items()} | speech.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql} | speech.oracle_sql()

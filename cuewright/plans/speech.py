@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import speech as X
+from ..operators import rules as R
 
 OPENERS = ["So what do you actually want", "But", "I mean", "Twenty-two people told me", "Um", "Yeah, because", "That is why", "Or you had a second chance", "Here's the thing", "They never tell you", "How do you", "The problem is", "And then Dana Smith", "You know", "Most people think", "I realized", "It was not the money", "Nobody in Paris", "Well, the truth is", "Okay"]
 MIDDLES = ["we lost 40% of it", "your first offer was wrong", "kind of works, like, always", "it turns out to be real", "until the last three months", "but yeah, subscribe to the show notes", "nothing costs more than that", "Mary Jane and BBC paid $5,000", "we went back to the slides", "you're the one who quits", "xyz happened instead", "everything is a choice, isn't it", "I almost gave up on my team in Rome", "it's the same in fact", "", "the worst part was hardest"]
@@ -64,6 +65,36 @@ feat AS (SELECT *, (regexp_matches(text, '{_q(X.OPENER)}', 'i') AND NOT asks) OR
     is_ack OR filler > 0 OR promo OR (n_words <= 4 AND NOT (len(numbers) > 0 OR len(names) > 0 OR len(contrast) > 0 OR you > 0 OR is_question OR {_has('low', X.CLOSE_STRONG)})) AS dead FROM f4)"""
 
 
+_asc = lambda p: _q(p).replace(R.START, r"\b").replace(R.END, r"\b").replace(r"(?:^|\W)", r"\b").replace(r"(?:\W|$)", r"\b")
+#: The rules of a clip over clips (id, sents): a row for each fault, one without a fault for each clip that has none.
+CLIP_RULES = rf"""
+c0 AS (SELECT id, sents AS own, list_transform(sents, lambda x: {_ASCII('x')}) AS sents FROM clips),
+c1 AS (SELECT *, sents[1] AS first, sents[-1] AS last, array_to_string(sents, ' ') AS body, len(sents) > 0 AS has FROM c0),
+c2 AS (SELECT *, trim(regexp_replace(first, '{R.SOFT_CONNECTIVE}\b[,\s]*', '', 'i')) AS rest, regexp_matches(last, '[.!?]$') AS ended, regexp_replace(last, '[.!?]+$', '') AS stem,
+    trim(regexp_replace(trim(first), '{_q(X.OPENER)}', '', 'i')) AS bare FROM c1),
+c3 AS (SELECT *, bare <> '' AND NOT regexp_matches(bare, '{_q(X.TAG)}', 'i') AND regexp_matches(bare, '{_q(X.INTERROGATIVE)}\b', 'i') AS asks,
+    CASE WHEN regexp_matches(first, '{_q(R.DANGLING)}', 'i') AND NOT (bare <> '' AND NOT regexp_matches(bare, '{_q(X.TAG)}', 'i') AND regexp_matches(bare, '{_q(X.INTERROGATIVE)}\b', 'i')) THEN 1
+         WHEN regexp_matches(first, '{_q(R.HARD_CONTINUATION)}\b', 'i') THEN 2 WHEN regexp_matches(rest, '{R.ORPHAN}\b', 'i') THEN 3
+         WHEN rest <> trim(first) AND NOT (regexp_matches(rest, '{_q(R.STANDS)}', 'i') OR ends_with(rest, '?')) THEN 4 END AS opening,
+    list_position(list_transform(sents, lambda x: regexp_matches(x, '\b({_q(R.REFERENCE)})\b', 'i')), true) AS refers,
+    list_position(list_transform(sents, lambda x: regexp_matches(x, '{_asc(R.PLACEHOLDER)}', 'i')), true) AS holds FROM c2),
+c4 AS (SELECT id, list_filter([
+    CASE WHEN NOT has THEN {{'f': 'empty', 's': 'fatal', 'e': ''}} END,
+    CASE opening WHEN 1 THEN {{'f': 'opens on a dangling connective', 's': 'fatal', 'e': own[1][1:110]}} WHEN 2 THEN {{'f': 'opens mid argument', 's': 'fatal', 'e': own[1][1:110]}}
+        WHEN 3 THEN {{'f': 'opens on an unresolved pronoun', 's': 'fatal', 'e': own[1][1:110]}} WHEN 4 THEN {{'f': 'opens mid argument', 's': 'serious', 'e': own[1][1:110]}} END,
+    CASE WHEN regexp_matches(first, '{R.FILLER}', 'i') THEN {{'f': 'opens on filler', 's': 'serious', 'e': own[1][1:110]}} END,
+    CASE WHEN len(regexp_extract_all(own[1], '[A-Za-z'']+')) > 34 THEN {{'f': 'opening sentence is long', 's': 'minor', 'e': own[1][1:110]}} END,
+    CASE WHEN refers > 0 THEN {{'f': 'refers to the rest of the recording', 's': 'serious', 'e': own[refers][1:110]}} END,
+    CASE WHEN has AND (NOT ended OR (regexp_matches(stem, '{_asc(R.TAIL)}', 'i') AND NOT regexp_matches(stem, '\b(that|so)\s*$', 'i'))) THEN {{'f': 'ends mid sentence', 's': 'fatal', 'e': right(own[-1], 110)}} END,
+    CASE WHEN regexp_matches(last, '{R.FILLER}', 'i') THEN {{'f': 'ends on filler', 's': 'serious', 'e': own[-1][1:110]}} END,
+    CASE WHEN has AND NOT regexp_matches(body, '{_asc(R.TURN)}', 'i') THEN {{'f': 'no turn', 's': 'serious', 'e': ''}} END,
+    CASE WHEN has AND NOT regexp_matches(body, '{_asc(R.STAKES)}', 'i') THEN {{'f': 'nothing at stake', 's': 'minor', 'e': ''}} END,
+    CASE WHEN has AND len(sents) < 3 THEN {{'f': 'too few sentences', 's': 'serious', 'e': ''}} END,
+    CASE WHEN holds > 0 THEN {{'f': 'says a placeholder out loud', 's': 'serious', 'e': own[holds][1:110]}} END], lambda x: x IS NOT NULL) AS fs FROM c3),
+faulted AS (SELECT id, CAST(CASE WHEN len(list_filter(fs, lambda x: x.s = 'fatal')) > 0 THEN 2 WHEN len(list_filter(fs, lambda x: x.s = 'serious')) >= 2 THEN 1 ELSE 0 END AS INT) AS verdict,
+    f.f AS fault, f.s AS severity, f.e AS evidence FROM (SELECT id, fs, unnest(CASE WHEN len(fs) = 0 THEN [NULL] ELSE fs END) AS f FROM c4))"""
+
+
 def featured(s, d):
     return said(s, d).withColumns(X.features(F.col("text")))
 
