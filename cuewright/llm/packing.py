@@ -36,6 +36,8 @@ from .fertility import encoding, public
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Rows of one size that are ranked in one task.
 BUCKET = 50_000
+#: Narrow rows in a file of a round.
+ROWS = 50_000
 CAP, END = 1024, 2
 
 
@@ -82,11 +84,14 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = No
 
 
 def windows(cap: int = CAP) -> list[tuple[int, int]]:
-    """(lo, hi]: lengths above a half, a third and a quarter of cap, then halves down to 1."""
-    out = [(cap // (k + 1), cap // k) for k in (1, 2, 3)]
-    while out[-1][0] >= 1:
-        out.append((out[-1][0] // 2, out[-1][0]))
-    return out
+    """(lo, hi]: lengths above a half, a third, a quarter, an eighth and a thirty-second of cap, then the rest."""
+    ends = sorted({cap // k for k in (1, 2, 3, 4, 8, 32)} | {0}, reverse=True)
+    return list(zip(ends[1:], ends, strict=False))
+
+
+def _written(df: DataFrame, n: int) -> DataFrame:
+    """A cut of about n narrow rows, in files of about ROWS rows whatever the number of shuffle partitions."""
+    return cut(df.coalesce(max(2, -(-n // ROWS))))
 
 
 def _placed(rows: str, counts: list[tuple[int, int, int]]) -> str:
@@ -146,23 +151,23 @@ def best_fit(rows: DataFrame, cap: int = CAP) -> DataFrame:
         mine = {n: k for n, k in left.items() if lo < n <= hi}
         least = min((n for n in left if n <= lo), default=cap + 1)  # of the windows to come
         while mine:
-            longest, shortest = max(mine), min(mine)
+            longest, shortest, before = max(mine), min(mine), fresh
             fits = {g: k for g, k in gaps.items() if g >= shortest}
             if fits:
                 counts = [(n, 1, k) for n, k in mine.items()] + [(g, 0, k * max(1, g // longest)) for g, k in fits.items()]
-                took = cut(_swept(own, open_.where(f"gap >= {shortest}"), longest, counts, cap))
+                took = _written(_swept(own, open_.where(f"gap >= {shortest}"), longest, counts, cap), sum(mine.values()))
                 own = took.where("seq IS NULL").select("id", "length")
                 used = took.where("seq IS NOT NULL").selectExpr("seq", "-length AS gap")
             else:
                 each = cap // longest
                 part = {n: k for n, k in mine.items() if n > cap // (each + 1)}
-                took = cut(_opened(own.where(f"length > {cap // (each + 1)}"), each, fresh, [(n, 1, k) for n, k in part.items()]))
+                took = _written(_opened(own.where(f"length > {cap // (each + 1)}"), each, fresh, [(n, 1, k) for n, k in part.items()]), sum(part.values()))
                 fresh += -(-sum(part.values()) // each)
                 own = own.where(f"length <= {cap // (each + 1)}")
                 used = took.selectExpr("seq", f"IF(offset = 0, {cap}, 0) - length AS gap")
             done.append(took)
             old = open_
-            open_ = cut(old.unionByName(used).groupBy("seq").agg(F.expr("CAST(sum(gap) AS INT) AS gap")))
+            open_ = _written(old.unionByName(used).groupBy("seq").agg(F.expr("CAST(sum(gap) AS INT) AS gap")), sum(gaps.values()) + fresh - before)
             release(old)
             found = own.selectExpr("1 AS kind", "length AS size").unionAll(open_.selectExpr("0", "gap")).groupBy("kind", "size").count().collect()  # at most 2 * cap numbers
             mine, gaps = ({r["size"]: r["count"] for r in found if r["kind"] == k} for k in (1, 0))
