@@ -8,9 +8,11 @@ after it follows from the key.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import speech as X
+from ..operators import moments
 from ..operators import rules as R
 
 OPENERS = ["So what do you actually want", "But", "I mean", "Twenty-two people told me", "Um", "Yeah, because", "That is why", "Or you had a second chance", "Here's the thing", "They never tell you", "How do you", "The problem is", "And then Dana Smith", "You know", "Most people think", "I realized", "It was not the money", "Nobody in Paris", "Well, the truth is", "Okay"]
@@ -106,6 +108,76 @@ def _features(s, d):
     return featured(s, d).select("sid", "n_words", "is_question", *[F.array_join(c, "|").alias(c) for c in _LISTS], "you", "filler", "is_ack", "exclaims", "promo", "bad_opener", "dead")
 
 
+#: Seconds of silence after a sentence, by its key.
+PAUSES = [0.1, 0.5, 0.7, 1.2, 2.0, 0.2, 4.5, 0.3]
+_timed_sql = f"""sents AS (
+    SELECT *, row_number() OVER r - 1 AS n, CAST(length(text) / 4e0 AS DOUBLE) AS dur, CAST(list_extract([{", ".join(f"{p}e0" for p in PAUSES)}], CAST(sid % {len(PAUSES)} AS INT) + 1) AS DOUBLE) AS pause,
+        regexp_matches(text, '{_q(X.TERMINAL)}') AS clean_end FROM feat WINDOW r AS (PARTITION BY rec ORDER BY sid)),
+sn AS (SELECT *, coalesce(sum(dur + pause) OVER b, 0e0) AS s, coalesce(sum(dur + pause) OVER b, 0e0) + dur AS e FROM sents WINDOW b AS (PARTITION BY rec ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+sg AS (SELECT *, coalesce(s - lag(e) OVER (PARTITION BY rec ORDER BY n), 0e0) AS gap FROM sn)"""
+WINDOWS = rf"""
+{_timed_sql},
+sp AS (SELECT *, sum(CASE WHEN gap > 4.0 THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY n) AS part FROM sg),
+wi AS (SELECT a.rec, a.n AS i, b.n AS j, a.s AS t0, b.e AS t1, CASE WHEN a.n > 0 THEN a.gap END AS before FROM sp a JOIN sp b
+    ON a.rec = b.rec AND b.n >= a.n AND a.part = b.part AND b.clean_end AND b.e - a.s BETWEEN 35 AND 75 WHERE NOT a.bad_opener OR a.n = 0),
+mem AS (SELECT wi.*, x.* EXCLUDE (rec, part), x.n - i AS k, j - i + 1 AS size FROM wi JOIN sp x ON x.rec = wi.rec AND x.n BETWEEN i AND j),
+answers AS (
+    SELECT m.rec, m.i, m.j, m.k FROM mem m JOIN mem y ON y.rec = m.rec AND y.i = m.i AND y.j = m.j AND y.k BETWEEN m.k + 1 AND m.k + 4 AND NOT y.is_question
+    WHERE m.is_question AND NOT m.promo AND m.k < m.size - 2 GROUP BY m.rec, m.i, m.j, m.k HAVING sum(y.n_words) >= 20 AND sum(y.filler) <= 1),
+asked AS (SELECT rec, i, j, min(k) AS k FROM answers GROUP BY rec, i, j),
+ag AS (SELECT rec, i, j, any_value(t0) AS t0, any_value(t1) AS t1, any_value(before) AS before, any_value(size) AS size, greatest(1, sum(n_words)) AS words,
+    sum(len(numbers)) AS nums, sum(len(names)) AS nms, sum(len(contrast)) AS hits, bool_or(len(contrast) > 0 AND (s - t0) / (t1 - t0) >= 0.4) AS late,
+    greatest(0, sum(you) - len(regexp_extract_all(string_agg(low, ' ' ORDER BY k), '\byou know\b'))) AS yous, bool_and(clean_end) AS whole,
+    count(*) FILTER (k > 0 AND gap > 1.8) AS silent, sum(exclaims) AS ex, sum(filler) AS fill, count(*) FILTER (dead AND k < 3) + count(*) FILTER (dead AND k >= size - 2) AS deads, count(*) FILTER (promo) AS promos,
+    any_value(CASE WHEN k = 0 THEN (CASE WHEN is_question THEN 8 ELSE 0 END) + (CASE WHEN len(numbers) > 0 THEN 4 ELSE 0 END) + (CASE WHEN you > 0 THEN 3 ELSE 0 END) + (CASE WHEN len(contrast) > 0 THEN 3 ELSE 0 END) END) AS hook,
+    any_value(CASE WHEN k = 0 THEN n_words END) AS first_words FROM mem GROUP BY rec, i, j),
+sh AS (SELECT a.rec, a.i, a.j, count(*) AS shifts FROM mem a JOIN mem b ON a.rec = b.rec AND a.i = b.i AND a.j = b.j AND b.k = a.k + 1 WHERE a.n_words >= 15 AND b.n_words <= 6 GROUP BY ALL),
+cl AS (SELECT rec, i, j, CASE WHEN regexp_matches(low, '{_q(X.CLOSE_WEAK_START)}\b') OR regexp_matches(low, '{_q(X.CLOSE_WEAK_END)}') THEN -10 ELSE
+    greatest(-10, least(14, (CASE WHEN n_words <= 14 THEN 4 ELSE 0 END) + (CASE WHEN n_words <= 8 THEN 3 ELSE 0 END) + (CASE WHEN {_has('low', X.CLOSE_STRONG)} THEN 4 ELSE 0 END) + (CASE WHEN is_question THEN 2 ELSE 0 END) - (CASE WHEN n_words > 30 THEN 3 ELSE 0 END))) END AS closing FROM mem WHERE n = j),
+pts AS (SELECT ag.rec, ag.i, ag.j, t0, t1, unnest([
+    {{'s': 'hook', 'p': least(15, hook + CASE WHEN hook > 0 AND first_words <= 16 THEN 3 ELSE 0 END)}},
+    {{'s': 'question_then_answer', 'p': CASE WHEN asked.k <= greatest(1, size // 3) THEN 14 WHEN asked.k IS NOT NULL THEN 8 END}},
+    {{'s': 'concrete_specifics', 'p': least(16, 3 * nums + 1.5e0 * nms)}},
+    {{'s': 'contrast_or_reversal', 'p': CASE WHEN hits > 0 THEN least(16, 5 + 3 * (least(hits, 4) - 1) + CASE WHEN late THEN 3 ELSE 0 END) END}},
+    {{'s': 'direct_address', 'p': least(8e0, 100e0 * yous / words * 0.8e0)}},
+    {{'s': 'closing_line', 'p': closing}},
+    {{'s': 'completeness', 'p': (CASE WHEN whole THEN 5 ELSE 0 END) + (CASE WHEN silent = 0 THEN 3 ELSE 0 END) + (CASE WHEN words / size BETWEEN 6 AND 24 THEN 2 ELSE 0 END)}},
+    {{'s': 'internal_silence', 'p': -4 * silent}},
+    {{'s': 'energy_proxy', 'p': least(8e0, (CASE WHEN before >= 1.5 THEN 6 WHEN before >= 0.8 THEN 4 ELSE 0 END) + least(3e0, 1.5e0 * coalesce(shifts, 0)) + least(2, ex))}},
+    {{'s': 'clean_exit', 'p': CASE WHEN nx.s - t1 >= 1.0 THEN 5 WHEN nx.s - t1 >= 0.6 THEN 2 WHEN nx.s - t1 < 0.3 AND nx.n_words <= 12 AND NOT nx.dead THEN -5 END}},
+    {{'s': 'filler', 'p': -least(25e0, 200e0 * fill / words)}},
+    {{'s': 'dead_weight_at_edges', 'p': -3 * deads}},
+    {{'s': 'promo_or_housekeeping', 'p': -least(20, 10 * promos)}},
+    {{'s': 'duration', 'p': CASE WHEN t1 - t0 BETWEEN 45 AND 60 THEN 4 ELSE 2 END}}]) AS x
+    FROM ag LEFT JOIN asked USING (rec, i, j) LEFT JOIN sh USING (rec, i, j) JOIN cl USING (rec, i, j) LEFT JOIN sp nx ON nx.rec = ag.rec AND nx.n = ag.j + 1),
+why AS (SELECT rec, i, j, t0, t1, x.s AS signal, round(CAST(x.p AS DOUBLE), 1) AS points FROM pts WHERE round(CAST(x.p AS DOUBLE), 1) <> 0),
+won AS (SELECT rec, i, j, any_value(t0) AS t0, any_value(t1) AS t1, round(sum(points), 6) AS score FROM why GROUP BY rec, i, j)"""
+
+
+def timed(s, d):
+    """rec, n, text, start, end, clean_end and features of each customer's sentences."""
+    w = Window.partitionBy("rec").orderBy("sid")
+    pause = F.element_at(F.array(*[F.lit(p) for p in PAUSES]), (F.col("sid") % len(PAUSES) + 1).cast("int"))
+    rows = said(s, d).withColumn("dur", F.length("text") / 4.0).withColumn("pause", pause)
+    start = F.coalesce(F.sum(F.col("dur") + F.col("pause")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    out = rows.select("rec", (F.row_number().over(w) - 1).alias("n"), "text", start.alias("start"), (start + F.col("dur")).alias("end"), X.ends_terminal(F.col("text")).alias("clean_end"))
+    return out.withColumns(X.features(F.col("text")))
+
+
+def _scores(s, d):
+    return moments.scored(moments.windows(timed(s, d))).select("rec", "i", "j", F.explode("why").alias("x")).select("rec", "i", "j", "x.signal", "x.points")
+
+
+def _best(s, d):
+    return moments.best_ends(moments.scored(moments.windows(timed(s, d)))).select("rec", "i", "j", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.round("score", 6).alias("score"))
+
+
+def _picked(s, d):
+    sents = moments.clean_starts(timed(s, d))
+    best = moments.best_ends(moments.scored(moments.windows(sents.drop("starts_clean"))))
+    return moments.pick(moments.lead_ins(best, sents)).withColumn("strength", moments.strength(F.col("score")))
+
+
 QUERIES = {
     "f5_sentence_features": (
         _features,
@@ -118,6 +190,18 @@ QUERIES = {
         r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\{\\[^}]*\}', '', 'g'),
             '\[[^\]]{0,30}\]|\((?:music|laughs?|laughter|applause|inaudible)[^)]*\)', ' ', 'gi') AS text FROM pages""",
     ),
+    "g2_window_signals": (_scores, f"WITH {SAID}, {FEATURES}, {WINDOWS} SELECT rec, i, j, signal, points FROM why"),
+    "a14_best_end": (
+        _best,
+        f"""WITH {SAID}, {FEATURES}, {WINDOWS}, r AS (SELECT *, row_number() OVER (PARTITION BY rec, i ORDER BY score DESC, t1 - t0, j) AS r FROM won)
+        SELECT rec, i, j, round(t0, 3) AS start, round(t1, 3) AS "end", score FROM r WHERE r = 1""",
+    ),
+    "t3_pick_moments": (_picked, None),
+    "p7_starts_clean": (
+        lambda s, d: moments.clean_starts(timed(s, d)).select("rec", "n", "starts_clean"),
+        f"""WITH {SAID}, {FEATURES}, {WINDOWS}, l AS (SELECT *, lag(ws[-1]) OVER (PARTITION BY rec ORDER BY n) AS w FROM sp)
+        SELECT rec, n, n = 0 OR (regexp_matches(w, '{_q(X.TERMINAL)}') AND lower(w) NOT IN ({_in(X.ABBREVIATIONS)})) OR gap >= 0.6 AS starts_clean FROM l""",
+    ),
     "p9_stands_as_question": (
         lambda s, d: said(s, d).select("sid", X.stands_as_question(F.col("text")).alias("ok")),
         f"WITH {SAID}, {FEATURES} SELECT sid, asks AS ok FROM feat",
