@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import cohort, intervals, rules, similarity, timed
 from ..sources import transcripts
-from . import captions, reels, speech
+from . import captions, naming, reels, speech
 
 DAY, HOUR = 86400.0, 3600.0
 #: Words of the languages at hand that say nothing of a topic.
@@ -328,8 +328,8 @@ QUERIES = {
 
 
 def queries() -> dict:
-    return {name: q for name, (q, _) in QUERIES.items()} | speech.queries() | captions.queries() | reels.queries()
+    return {name: q for name, (q, _) in QUERIES.items()} | speech.queries() | captions.queries() | reels.queries() | naming.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql} | speech.oracle_sql() | captions.oracle_sql() | reels.oracle_sql()
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql} | speech.oracle_sql() | captions.oracle_sql() | reels.oracle_sql() | naming.oracle_sql()
