@@ -28,7 +28,7 @@ def read_text(spark: SparkSession, path) -> DataFrame:
 def srt(files: DataFrame) -> DataFrame:
     """rec, value -> cues. Blocks part at blank lines; a block without a timing line is skipped."""
     blocks = files.select("rec", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"\n[ \t]*\n")).alias("ord", "block"))
-    body = F.trim(F.regexp_replace("block", r"(?s)^.*?-->[^\n]*\n?", ""))
+    body = F.regexp_replace(F.regexp_replace("block", r"(?s)^.*?-->[^\n]*\n?", ""), r"^\s+|\s+$", "")
     return _cues(blocks.select("rec", "ord", X.seconds(F.regexp_extract("block", _HEAD, 1)).alias("start"), X.seconds(F.regexp_extract("block", _HEAD, 2)).alias("end"), body.alias("text")).where("start is not null"))
 
 
@@ -53,6 +53,15 @@ def json_cues(files: DataFrame) -> DataFrame:
     return _cues(x.select("rec", "ord", X.seconds(F.coalesce("start", "start_time")).alias("start"), X.seconds(F.coalesce("end", "end_time")).alias("end"), "text"))
 
 
+def cues(files: DataFrame) -> DataFrame:
+    """rec, value -> cues, whichever of the three forms a file has: JSON, bracketed lines, else SRT."""
+    start = F.ltrim("value")
+    kind = F.when(start.rlike(r"^[\[{]\s*[\[{\"]") | start.rlike(r"^[\[{]\s*[\]}]"), "json").when(F.col("value").rlike(r"(?m)^\s*\[\s*[0-9:.,]+\s*-->"), "bracket").otherwise("srt")
+    own = files.withColumn("kind", kind)
+    of = lambda k: own.where(F.col("kind") == k).select("rec", "value")
+    return json_cues(of("json")).unionByName(bracketed(of("bracket"))).unionByName(srt(of("srt")))
+
+
 def videos(files: DataFrame) -> DataFrame:
     """rec, value of result blocks -> id, title, views, format, duration_s; the first of each id stays."""
     block = "array<struct<query:string,results:array<struct<format:string,title:string,channel:string,views:bigint,views_raw:string,duration:string,duration_s:int,age:string,id:string>>>>"
