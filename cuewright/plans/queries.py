@@ -234,18 +234,31 @@ def _round_trip(s, d):
     return transcripts.srt(transcripts.to_srt(_cues(s, d).withColumn("text", F.regexp_replace("text", r"\s*\n\s*", " ")))).groupBy("rec").agg(F.count("*").alias("cues"), F.max("end").alias("end"))
 
 
-def _stream(s, d):
-    """The tumbling counts by a streaming run over the file, all batches taken at once."""
+def _stream_folder(s) -> str:
     import tempfile
     import uuid
 
+    root = s.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp()
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _stream(s, d):
+    """The tumbling counts by a streaming run over the file, all batches taken at once."""
+    from ..streaming import events
+
+    return events.drained(events.tumbling(events.source(s, f"{d}/events.parquet")), "complete", _stream_folder(s)).drop("batch")
+
+
+def _running(s, d):
+    """Each user's events and sum of values so far, as the state stands after the last batch."""
     from ..streaming import events
 
-    name, root = f"tumbling_{uuid.uuid4().hex}", s.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    src = events.source(s, f"{d}/events.parquet")
-    run = events.tumbling(src).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root.rstrip('/')}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return s.table(name)
+    out = events.drained(events.running(events.source(s, f"{d}/events.parquet")), "update", _stream_folder(s))
+    return out.groupBy("user_id").agg(F.max_by(F.struct("n", "total"), "batch").alias("x")).select("user_id", "x.n", F.round("x.total", 6).alias("total"))
 
 
 def _session(s, d):
@@ -314,6 +327,7 @@ QUERIES = {
     "j10_misheard": (lambda s, d: similarity.misheard(_words(s, d).withColumn("pos", F.row_number().over(Window.partitionBy("rec").orderBy("cue", "pos")))), None),
     "k1_srt_round_trip": (_round_trip, "WITH " + CUE + ' SELECT rec, count(*) AS cues, max(e) AS "end" FROM cues WHERE e > s GROUP BY rec'),
     "stream_tumbling": (_stream, "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL"),
+    "stream_running": (_running, "SELECT user_id, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE user_id IS NOT NULL GROUP BY user_id"),
     "stream_sessions": (_session, "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '4 hours' THEN 0 ELSE 1 END AS new FROM events) SELECT user_id, CAST(sum(new) AS BIGINT) AS sessions, count(*) AS events FROM e GROUP BY user_id"),
     "p11_has_sentence": (lambda s, d: _t(s, d, "documents").select("doc_id", X.has_sentence(F.col("text")).alias("ok"), X.is_noise(F.col("text")).alias("noise")), f"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '#[A-Za-z0-9_]+', ' ', 'g'), '[A-Za-z'']{{2,}}')) >= 3 AS ok, regexp_matches(text, '{X.NOISE}', 'i') OR (len(regexp_extract_all(text, '#[A-Za-z0-9_]+')) >= 3 AND len(regexp_extract_all(regexp_replace(text, '#[A-Za-z0-9_]+', ' ', 'g'), '[A-Za-z'']+')) <= 6) AS noise FROM documents"),
     "f24_slugs": (lambda s, d: _t(s, d, "part").select("p_partkey", X.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug")), "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,3 +22,38 @@ def sessions(events: DataFrame, gap: str = "4 hours", late: str = "1 day") -> Da
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     timed = timed.withWatermark("ts", late) if events.isStreaming else timed
     return timed.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def running(events: DataFrame) -> DataFrame:
+    """user_id, n and total so far, for each user that a batch brings events of: state kept from batch to batch."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, frames, state):
+        import pandas as pd
+
+        n, total = state.get if state.exists else (0, 0.0)
+        for pdf in frames:
+            n, total = n + len(pdf), total + float(pdf["value"].sum())
+        state.update((n, total))
+        yield pd.DataFrame([(key[0], n, total)], columns=["user_id", "n", "total"])
+
+    rows = events.where("user_id is not null").select(F.col("user_id").cast("long").alias("user_id"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
+
+
+def drained(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over all that is there, each batch written to a table in the shared folder, and give that table.
+
+    complete: the last batch holds everything. update: all batches, with their number as `batch`.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.withColumn("batch", F.lit(batch)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/table")
+
+    run = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    schema = stream.schema.add("batch", "long")
+    try:
+        return stream.sparkSession.read.schema(schema).parquet(f"{folder}/table")
+    except AnalysisException:  # no batch came
+        return stream.sparkSession.createDataFrame([], schema)
