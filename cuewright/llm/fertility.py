@@ -10,7 +10,7 @@ fewer than 50 words, or over half of the words inside 3-word windows that occur
 
 Defined results: null text counts as no words (base_failed); very long texts are measured whole. A null
 language forms a group of its own; of a language with fewer than MIN_GROUP measurable documents, the bands
-over all languages hold. Repeated rows are judged each and alike. An empty table gives no rows. Other columns
+over all languages hold, and with fewer than MIN_GROUP in all none does: only the base rules reject then. Repeated rows are judged each and alike. An empty table gives no rows. Other columns
 pass through whatever their names; those named like an output are replaced.
 """
 
@@ -128,8 +128,9 @@ def bands(measured: DataFrame, group: str) -> tuple[DataFrame, list]:
     wide = F.greatest(F.get(margins, F.col("_rate")), SPREAD * (F.col("q3") - F.col("q1")))
     own = F.struct("_rate", (F.col("q1") - wide).alias("lo"), (F.col("q3") + wide).alias("hi"))
     listed = lambda q: q.groupBy("_group").agg(F.array_sort(F.collect_list(own)).alias("_bands"))  # noqa: E731  a row for each rate
-    every = [(r["lo"], r["hi"]) for x in listed(quartiles(measured, None)).collect() for r in x["_bands"]]
-    return listed(quartiles(measured, group).where(F.col("_n") >= MIN_GROUP)), every
+    enough = F.col("_n") >= MIN_GROUP
+    every = [(r["lo"], r["hi"]) for x in listed(quartiles(measured, None).where(enough)).collect() for r in x["_bands"]]
+    return listed(quartiles(measured, group).where(enough)), every
 
 
 def judge(measured: DataFrame, group: str = "lang") -> DataFrame:
@@ -141,7 +142,7 @@ def judge(measured: DataFrame, group: str = "lang") -> DataFrame:
     joined = measured.join(small(cut(own.select(F.col("_group").alias(g), F.col("_bands").alias(b)))), F.col(group).eqNullSafe(F.col(g)), "left")
     inside = F.lit(True)
     for i, c in enumerate(RATES):
-        lo, hi = ((F.coalesce(F.col(b)[i][side], F.lit(every[i][k] if every else None))) for k, side in enumerate(("lo", "hi")))
+        lo, hi = ((F.coalesce(F.col(b)[i][side], F.lit(every[i][k] if every else None).cast("double"))) for k, side in enumerate(("lo", "hi")))
         inside = inside & F.coalesce(F.col(c).between(lo, hi), F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & inside).drop(g, b)
 
