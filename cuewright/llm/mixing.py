@@ -41,8 +41,8 @@ def period_for(sources: int, total: float, least: float) -> int:
 
 
 def shares(docs: DataFrame, group: str, power: float = POWER, period: int | None = None) -> DataFrame:
-    """_src, n and share (1 at least) of each source; the shares sum to the period (to the number of sources,
-    if that is more).
+    """_src, n and share (1 at least) of each source; the shares sum to the period, or to a little more where
+    many sources round up to 1.
 
     Target weight: rows ** power. Whole shares go by largest remainder, ties to the smaller name.
     """
@@ -52,13 +52,16 @@ def shares(docs: DataFrame, group: str, power: float = POWER, period: int | None
     if not found["k"]:
         return counts.select("_src", "n", F.lit(1).cast("bigint").alias("share"))
     slots_ = max(period or period_for(found["k"], found["total"], found["least"]), found["k"])
-    ideal = counts.withColumn("_ideal", F.col("_w") / found["total"] * (slots_ - found["k"]))
-    ideal = cut(ideal.withColumn("_base", F.floor("_ideal")).withColumn("_rest", F.col("_ideal") - F.col("_base")))
-    short = slots_ - found["k"] - ideal.agg(F.sum("_base")).first()[0]
+    # a source under one slot gets one, the others share the rest by weight
+    large = F.col("_w") * slots_ >= found["total"]
+    over = counts.agg(F.count_if(~large).alias("k"), F.sum(F.when(large, F.col("_w"))).alias("total")).first()
+    ideal = F.when(large, F.col("_w") / (over["total"] or 1.0) * (slots_ - over["k"])).otherwise(1.0)
+    ideal = cut(counts.withColumn("_ideal", ideal).withColumn("_base", F.greatest(F.lit(1).cast("bigint"), F.floor("_ideal"))).withColumn("_rest", F.greatest(F.lit(0.0), F.col("_ideal") - F.col("_base"))))
+    short = slots_ - ideal.agg(F.sum("_base")).first()[0]
     # remainders from 1 down to 0 over the range of a long
     key = ((0.5 - F.col("_rest")) * 1.8e19).cast("bigint")
     ranked = gapless_rank(ideal, [], key, [F.col("_src").asc_nulls_first()], "_rank")
-    return ranked.select("_src", "n", (1 + F.col("_base") + (F.col("_rank") < short).cast("bigint")).alias("share"))
+    return ranked.select("_src", "n", (F.col("_base") + (F.col("_rank") < short).cast("bigint")).alias("share"))
 
 
 def schedule(shares_: DataFrame) -> DataFrame:
