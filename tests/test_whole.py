@@ -29,7 +29,7 @@ def sessions(events):
 
 def test_every_user_is_intersected(spark, tmp_path):
     events = taped(spark, tmp_path)
-    got = {r["id_b"]: (r["parts"], r["seconds"]) for r in plans.queries()["u4_intersect_all"](spark, str(tmp_path)).collect()}
+    got = {r["id_b"]: (r["parts"], r["seconds"]) for r in plans.queries()["u4_intersect"](spark, str(tmp_path)).collect()}
     isles = []
     for u, s, e in sorted((u, s - 7200, e + 7200) for u, s, e in sessions(events)):
         if isles and isles[-1][0] == u and s <= isles[-1][2]:
@@ -46,7 +46,7 @@ def test_every_user_is_intersected(spark, tmp_path):
 
 def test_points_in_any_session(spark, tmp_path):
     events = taped(spark, tmp_path)
-    got = {r["p"]: (r["ord"], r["at"]) for r in plans.queries()["j6_point_in_any"](spark, str(tmp_path)).collect()}
+    got = {r["p"]: (r["ord"], r["at"]) for r in plans.queries()["j6_point_in_interval"](spark, str(tmp_path)).collect()}
     tape = sorted((s, u, e) for u, s, e in sessions(events))
     assert got == {p: next((k, t - s) for k, (s, _, e) in enumerate(tape, 1) if s <= t <= e) for p, _, t in events}
 
