@@ -10,9 +10,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import speech as X
-from ..operators import reels
+from ..operators import reels, spoken
 from . import speech
-from .speech import SAID, WINDOWS, FEATURES, _has, _q
+from .speech import FEATURES, SAID, WINDOWS, _has, _pick, _q
 
 HOUR = 3600.0
 #: Somebody is quoted.
@@ -82,6 +82,21 @@ def _uniform(s, d):
     return words.select("piece", "n", "pos", "word", at(F.col("pos")).alias("t0"), at(F.col("pos") + 1).alias("t1"))
 
 
+LABELS = ["", "ANNA: ", "", ">>SPEAKER_1: ", "Um, ", "", "I mean. ", "the the "]
+MARKS = ["", " um.", "", " you know, right?", " uh", " like, so", ""]
+WORDS = f"""lw AS (SELECT rec, sid, list_filter(regexp_split_to_array({_pick(LABELS, f"sid % {len(LABELS)}", False)} || text || {_pick(MARKS, f"sid % {len(MARKS)}", False)}, '\\s+'), lambda x: x <> '') AS ws FROM said),
+wd AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY sid, pos) AS n, word, pos = 0 AS first FROM (SELECT rec, sid, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM lw))"""
+_bare_sql = lambda w: f"trim(lower({w}), '.,!?;:''\"()[]’“”—-')"
+
+
+def _labelled(s, d):
+    text = F.concat(F.expr(_pick(LABELS, f"sid % {len(LABELS)}", True)), F.col("text"), F.expr(_pick(MARKS, f"sid % {len(MARKS)}", True)))
+    rows = speech.said(s, d).select("rec", "sid", F.posexplode(X.split_words(text)).alias("pos", "word"))
+    n = F.row_number().over(Window.partitionBy("rec").orderBy("sid", "pos"))
+    out = rows.select("rec", n.cast("bigint").alias("n"), "word", (F.col("pos") == 0).alias("first"))
+    return out.withColumns({"t0": F.col("n") * 0.3, "t1": F.col("n") * 0.3 + 0.25})
+
+
 QUERIES = {
     "a29_duplicates": (
         _duplicates,
@@ -162,6 +177,36 @@ QUERIES = {
         f"""WITH {SPOKEN}, w AS (SELECT rec, n, s, e, len(ws) AS k, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM sp)
         SELECT rec AS piece, n, pos, word, round(s + (e - s) * pos / k, 6) AS t0, round(s + (e - s) * (pos + 1) / k, 6) AS t1 FROM w""",
     ),
+    "w10_speaker_marks": (
+        lambda s, d: spoken.mark_speakers(_labelled(s, d)).select("rec", "n", "word", "turn"),
+        rf"""WITH {SAID}, {WORDS}, l AS (SELECT *, first AND regexp_matches(word, '{_q(spoken.SPEAKER_TOKEN)}') AS label FROM wd),
+        t AS (SELECT *, coalesce(lag(label) OVER (PARTITION BY rec ORDER BY n), false) AS turn FROM l) SELECT rec, n, word, turn FROM t WHERE NOT label""",
+    ),
+    "w9_collapsed": (
+        lambda s, d: spoken.collapse_repeats(_labelled(s, d)).select("rec", "n", "word"),
+        rf"""WITH {SAID}, {WORDS}, l AS (SELECT *, {_bare_sql('word')} AS b, {_bare_sql('lead(word) OVER (PARTITION BY rec ORDER BY n)')} AS nb FROM wd)
+        SELECT rec, n, word FROM l WHERE NOT coalesce(b = nb AND b <> '', false)""",
+    ),
+    "f8_without_filler": (
+        lambda s, d: spoken.strip_filler(_labelled(s, d)).select("rec", "n", "word"),
+        rf"""WITH RECURSIVE {SAID}, {WORDS}, b AS (SELECT *, {_bare_sql('word')} AS b, {_bare_sql('lead(word) OVER (PARTITION BY rec ORDER BY n)')} AS nb, regexp_extract(word, '{_q(X.TERMINAL)}') AS mark FROM wd),
+        p AS (SELECT *, coalesce(b || ' ' || nb IN ({speech._in(spoken.FILLER_PAIRS)}), false) AS pair, b IN ({speech._in(spoken.FILLERS)}) OR (b = 'like' AND regexp_matches(word, ',[”’"'')]*$')) AS one,
+            lead(mark) OVER (PARTITION BY rec ORDER BY n) AS next_mark FROM b),
+        -- one thing after another: what is taken (0, 1 or 2 words), the mark it leaves, whether a sentence is open
+        step(rec, n, taken, word, mark, has, done, cap) AS (
+            SELECT rec, CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(NULL AS VARCHAR), CAST('' AS VARCHAR), false, false, false FROM (SELECT DISTINCT rec FROM wd)
+            UNION ALL
+            SELECT s.rec, p.n, CASE WHEN p.pair THEN 2 ELSE 1 END,
+                CASE WHEN p.pair OR p.one THEN NULL WHEN s.cap AND p.word = lower(p.word) THEN upper(p.word[1]) || p.word[2:] ELSE p.word END,
+                CASE WHEN p.pair THEN p.next_mark WHEN p.one THEN p.mark ELSE '' END,
+                s.has OR NOT (p.pair OR p.one),
+                CASE WHEN p.pair OR p.one THEN s.done OR (s.has AND CASE WHEN p.pair THEN p.next_mark ELSE p.mark END <> '') ELSE p.mark <> '' END,
+                CASE WHEN NOT (p.pair OR p.one) THEN false WHEN s.has AND CASE WHEN p.pair THEN p.next_mark ELSE p.mark END <> '' THEN s.cap
+                    ELSE s.cap OR NOT s.has OR s.done OR CASE WHEN p.pair THEN p.next_mark ELSE p.mark END <> '' END
+            FROM step s JOIN p ON p.rec = s.rec AND p.n = s.n + s.taken),
+        g AS (SELECT *, count(word) OVER (PARTITION BY rec ORDER BY n) AS k FROM step WHERE n > 0)
+        SELECT rec, min(n) AS n, any_value(word) || coalesce(string_agg(mark, '' ORDER BY n) FILTER (word IS NULL), '') AS word FROM g WHERE k > 0 GROUP BY rec, k""",
+    ),
     "m11_estimated_cards": (
         lambda s, d: reels.estimated_cards(speech.said(s, d).select(F.col("sid").alias("id"), "text")),
         rf"""WITH {SAID}, w AS (SELECT sid AS id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM said),
