@@ -1,14 +1,16 @@
 """Operators that SQL does not express, against plain Python and against cases written out."""
 
 import difflib
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from cuewright.functions import captions, speech
 from cuewright.functions import text as X
-from cuewright.operators import moments, rules, similarity, timed
+from cuewright.operators import moments, rules, similarity, spoken, timed
+from cuewright.plans import reels as reel_plans
 from cuewright.plans import speech as plans
 from cuewright.streaming import events
 
@@ -76,6 +78,39 @@ def test_picked_moments_against_plain_python(spark, sf):
     assert got == {k: v for k, v in want.items() if v} and got
 
 
+def without_filler(words):
+    """One word after another, as a person would do it."""
+    kept, capital, i = [], False, 0
+    plain = lambda w: w.lower().strip(".,!?;:'\"()[]’“”—-")
+    mark = lambda w: (re.search(r"[.?!]+[\"')\]”’]*$", w) or [""])[0]
+    while i < len(words):
+        a, b = plain(words[i]), plain(words[i + 1]) if i + 1 < len(words) else None
+        take = 2 if f"{a} {b}" in spoken.FILLER_PAIRS else 1 if a in spoken.FILLERS or (a == "like" and words[i].rstrip("”’\"')").endswith(",")) else 0
+        if take:
+            opens, end = not kept or bool(mark(kept[-1])), mark(words[i + take - 1])
+            if end and kept:
+                kept[-1] += end
+            elif opens or end:
+                capital = True
+            i += take
+            continue
+        word = words[i]
+        kept.append(word[:1].upper() + word[1:] if capital and word == word.lower() else word)
+        capital = False
+        i += 1
+    return kept
+
+
+def test_fillers_against_plain_python(spark, sf):
+    words = defaultdict(list)
+    for r in reel_plans._labelled(spark, sf).orderBy("rec", "n").collect():
+        words[r["rec"]].append(r["word"])
+    got = defaultdict(list)
+    for r in reel_plans.queries()["f8_without_filler"](spark, sf).orderBy("rec", "n").collect():
+        got[r["rec"]].append(r["word"])
+    assert got == {k: without_filler(v) for k, v in words.items()}
+
+
 def test_questions_and_openers(spark):
     cases = {"So what do you actually want?": True, "Or you had a stimulant, right?": False, "So I made one rule.": False, "And why?": True, "So": False}
     rows = spark.createDataFrame([(t,) for t in cases], "text string").withColumns(speech.features(F.col("text"))).withColumn("asks", speech.stands_as_question(F.col("text"))).collect()
