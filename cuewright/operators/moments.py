@@ -90,10 +90,14 @@ def signals() -> dict[str, Column]:
 
 
 def scored(found: DataFrame) -> DataFrame:
-    """Add why, the signals that gave points (signal, points to one place), and score, their sum."""
+    """Add why, the signals that gave points (signal, points to one place), and score, their sum.
+
+    Tenths are summed as integers, so that equal scores are equal.
+    """
     one = [F.struct(F.lit(name).alias("signal"), F.round(points.cast("double"), 1).alias("points")) for name, points in signals().items()]
     out = found.withColumn("why", F.filter(F.array(*one), lambda x: F.coalesce(x["points"], F.lit(0.0)) != 0))
-    return out.withColumn("score", F.aggregate("why", F.lit(0.0), lambda a, x: a + x["points"]))
+    tenths = F.aggregate("why", F.lit(0), lambda a, x: a + F.round(x["points"] * 10).cast("int"))
+    return out.withColumn("score", tenths / 10.0)
 
 
 def best_ends(windows_: DataFrame) -> DataFrame:

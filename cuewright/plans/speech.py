@@ -3,7 +3,7 @@
 Stand-in: each order speaks one sentence, put together by its key from fixed openers, middles and ends (the
 prose of the tables has none of the words that the operators look for). A customer's orders are a recording
 in the order of their keys; a sentence lasts a third of a second for each word and character, and the pause
-after it follows from the key.
+after it follows from the key; times are rounded to thousandths, so that both engines compare the same numbers.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ PAUSES = [0.1, 0.5, 0.7, 1.2, 2.0, 0.2, 4.5, 0.3]
 _timed_sql = f"""sents AS (
     SELECT *, row_number() OVER r - 1 AS n, CAST(length(text) / 4e0 AS DOUBLE) AS dur, CAST(list_extract([{", ".join(f"{p}e0" for p in PAUSES)}], CAST(sid % {len(PAUSES)} AS INT) + 1) AS DOUBLE) AS pause,
         regexp_matches(text, '{_q(X.TERMINAL)}') AS clean_end FROM feat WINDOW r AS (PARTITION BY rec ORDER BY sid)),
-sn AS (SELECT *, coalesce(sum(dur + pause) OVER b, 0e0) AS s, coalesce(sum(dur + pause) OVER b, 0e0) + dur AS e FROM sents WINDOW b AS (PARTITION BY rec ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+sn AS (SELECT *, round(coalesce(sum(dur + pause) OVER b, 0e0), 3) AS s, round(coalesce(sum(dur + pause) OVER b, 0e0) + dur, 3) AS e FROM sents WINDOW b AS (PARTITION BY rec ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 sg AS (SELECT *, coalesce(s - lag(e) OVER (PARTITION BY rec ORDER BY n), 0e0) AS gap FROM sn)"""
 WINDOWS = rf"""
 {_timed_sql},
@@ -151,7 +151,7 @@ pts AS (SELECT ag.rec, ag.i, ag.j, t0, t1, unnest([
     {{'s': 'duration', 'p': CASE WHEN t1 - t0 BETWEEN 45 AND 60 THEN 4 ELSE 2 END}}]) AS x
     FROM ag LEFT JOIN asked USING (rec, i, j) LEFT JOIN sh USING (rec, i, j) JOIN cl USING (rec, i, j) LEFT JOIN sp nx ON nx.rec = ag.rec AND nx.n = ag.j + 1),
 why AS (SELECT rec, i, j, t0, t1, x.s AS signal, round(CAST(x.p AS DOUBLE), 1) AS points FROM pts WHERE round(CAST(x.p AS DOUBLE), 1) <> 0),
-won AS (SELECT rec, i, j, any_value(t0) AS t0, any_value(t1) AS t1, round(sum(points), 6) AS score FROM why GROUP BY rec, i, j)"""
+won AS (SELECT rec, i, j, any_value(t0) AS t0, any_value(t1) AS t1, sum(CAST(round(points * 10) AS INT)) / 10e0 AS score FROM why GROUP BY rec, i, j)"""
 
 
 def timed(s, d):
@@ -160,7 +160,7 @@ def timed(s, d):
     pause = F.element_at(F.array(*[F.lit(p) for p in PAUSES]), (F.col("sid") % len(PAUSES) + 1).cast("int"))
     rows = said(s, d).withColumn("dur", F.length("text") / 4.0).withColumn("pause", pause)
     start = F.coalesce(F.sum(F.col("dur") + F.col("pause")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    out = rows.select("rec", (F.row_number().over(w) - 1).alias("n"), "text", start.alias("start"), (start + F.col("dur")).alias("end"), X.ends_terminal(F.col("text")).alias("clean_end"))
+    out = rows.select("rec", (F.row_number().over(w) - 1).alias("n"), "text", F.round(start, 3).alias("start"), F.round(start + F.col("dur"), 3).alias("end"), X.ends_terminal(F.col("text")).alias("clean_end"))
     return out.withColumns(X.features(F.col("text")))
 
 
