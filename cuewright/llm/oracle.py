@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import fim, licenses
 
 
 def _quoted(text: str) -> str:
@@ -64,4 +64,4 @@ FROM sets s LEFT JOIN named ON list_sort(s.own) = named.own"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_rare_token_licenses": licences(), "op9_superminhash": NEAR_DUPLICATES}
+    return {"op4_rare_token_licenses": licences(), "op9_superminhash": NEAR_DUPLICATES, "op12_fill_in_middle": fim.SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, fertility, langid, licenses, mixing, neardup, oracle, packing, quality, sharding, toxicity
+from . import align, ann, fertility, fim, langid, licenses, merges, mixing, neardup, oracle, packing, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_subword_language": langid.query,
         "op9_superminhash": neardup.query,
         "op10_best_fit_packing": packing.query,
+        "op11_token_alignment": align.query,
+        "op12_fill_in_middle": fim.query,
+        "op13_sentencepiece": merges.query,
         "pipeline": pipeline,
     }
 
