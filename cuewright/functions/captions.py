@@ -19,6 +19,13 @@ DIRECTIVE = ["stop", "start", "go", "do", "dont", "don't", "make", "take", "get"
 FINITE = ["is", "are", "was", "were", "am", "has", "have", "had", "do", "does", "did", "can", "could", "will", "would", "shall", "should", "may", "might", "must", "becomes", "became", "gets", "got", "goes", "went", "comes", "came", "feels", "felt", "needs", "need", "makes", "made", "takes", "took", "wins", "win", "stays", "happens", "means", "says", "tells", "wants", "lives", "costs"]
 SUBJECT = ["i", "you", "we", "they", "he", "she", "it", "that", "this", "there", "who", "what", "nothing", "everything", "nobody", "everybody", "money", "people"]
 DETERMINER = ["the", "a", "an", "this", "that", "these", "those", "my", "your", "his", "her", "their", "our", "its", "no", "some", "every", "all"]
+#: Somebody is quoted, or what somebody may do is granted.
+VOICING = r"(?:i|he|she|it|they|we|you|brain|mind|ego|voice|heart|body|spirit|everyone|people|somebody|someone)\s+(?:was\s+|were\s+|am\s+|is\s+|are\s+)?(?:say|says|said|saying|tell|tells|told|telling|think|thinks|thought|thinking|ask|asks|asked|asking)|i'?m\s+like|you'?re\s+like|they'?re\s+like|it'?s\s+like"
+PERMISSION = r"(?:you|we|i)\s*(?:'?(?:d|ll|re|ve))?\s*(?:can|could|may|might|should|get\s+to|are\s+allowed\s+to|want\s+to|wanna|have\s+permission)|do\s+you\s+want\s+to|do\s+you\s+need\s+to|all\s+you\s+have\s+to"
+#: What may open a clause without being its own word; words that a repeated phrase's ending is not judged by; words that hang at a card's end.
+COORDINATION = ["and", "but", "or", "so", "then", "yet", "because"]
+TAIL_STOP = ["a", "an", "the", "to", "be", "is", "are", "was", "of", "in", "on", "it", "it's", "that", "and", "or", "but", "so", "like", "just", "very", "then", "i", "you", "we"]
+DANGLING = ["at", "to", "from", "of", "with", "for", "in", "on", "about", "by", "and", "or", "but", "that", "than", "as", "is", "was", "are", "the", "a"]
 CONTRACTED = r"'(?:s|re|m|ll|d|ve)$"
 #: What a voice is measured by.
 VOICE_SHAPES = {
@@ -54,8 +61,12 @@ def tokens(text: Column) -> Column:
     return _all(flat(text), "[a-z0-9$']+")
 
 
+def is_negation(token: Column) -> Column:
+    return token.isin(NEGATION) | token.endswith("n't")
+
+
 def negations(text: Column) -> Column:
-    return F.filter(tokens(text), lambda t: t.isin(NEGATION) | t.endswith("n't"))
+    return F.filter(tokens(text), is_negation)
 
 
 def hits(text: Column, vocabulary: list[str]) -> Column:
@@ -70,13 +81,21 @@ def overlap(card: Column, line: Column) -> Column:
 
 def stands_alone(text: Column) -> Column:
     """A whole sentence by itself: an order, a contraction, or a subject with a finite verb within three words."""
-    t = tokens(text)
+    return whole(tokens(text))
+
+
+def whole(t: Column) -> Column:
+    """stands_alone over tokens."""
     verb = lambda w: w.isin(FINITE) | w.rlike(CONTRACTED)
     order = F.coalesce(F.get(t, F.lit(0)).isin(DIRECTIVE), F.lit(False))
     said = F.exists(F.transform(t, lambda w, i: w.isin(SUBJECT + DETERMINER) & F.exists(F.slice(t, i + 2, 3), verb)), lambda x: x)
     return order | F.exists(t, lambda w: w.rlike(CONTRACTED)) | said
 
 
+def voiced(text: Column) -> Column:
+    return text.rlike("(?i)" + bounded(VOICING) + "|" + LEFT + r"(?:goes|went)\s*,")
+
+
 def clauses(text: Column) -> Column:
     """Pieces at commas, semicolons, colons and dashes; a conjunction after three words begins another."""
     parts = F.split(flat(text), r"\s*[,;:]\s*|\s+--+\s*|\s*--+\s+")

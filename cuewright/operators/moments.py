@@ -25,21 +25,23 @@ def clean_starts(sents: DataFrame, pause: float = 0.6) -> DataFrame:
     return sents.withColumn("starts_clean", (F.col("n") == 0) | F.coalesce(done, F.lit(False)) | F.coalesce(gap >= pause, F.lit(False)))
 
 
-def windows(sents: DataFrame, lo: float = SHORTEST, hi: float = LONGEST) -> DataFrame:
+def windows(sents: DataFrame, lo: float = SHORTEST, hi: float = LONGEST, most: int | None = None, starts: Column | None = None) -> DataFrame:
     """rec, i, j, w (the window's sentences), before (seconds of silence ahead of it) and after (the sentence that follows).
 
     Windows of lo to hi seconds that start on no bad opener (the first sentence may), hold no silence over BREAK
-    and end on a finished sentence.
+    and end on a finished sentence. most: sentences of a window; starts: a further condition on its first one.
     """
     counted = sents.withColumns({f"n_{c}": F.size(c) for c in ("numbers", "names", "contrast")})
     order = Window.partitionBy("rec").orderBy("n")
     ahead = Window.partitionBy("rec").orderBy("start").rangeBetween(0, int(hi))
     held = counted.withColumn("ahead", F.array_sort(F.collect_list(F.struct(*HELD)).over(ahead)))
     held = held.withColumn("before", F.col("start") - F.lag("end").over(order)).where(~F.col("bad_opener") | (F.col("n") == 0))
+    held = held if starts is None else held.where(starts)
     # how many sentences follow each other without a break
     gaps = F.expr(f"filter(sequence(1, size(ahead) - 1), k -> k > 0 and k < size(ahead) and ahead[k].start - ahead[k - 1].end > {BREAK})")
     held = held.withColumn("run", F.coalesce(F.array_min(gaps), F.size("ahead")))
-    ends = held.select("rec", F.col("n").alias("i"), "before", "ahead", F.explode(F.sequence(F.lit(0), F.col("run") - 1)).alias("k"))
+    run = F.col("run") if most is None else F.least("run", F.lit(most))
+    ends = held.select("rec", F.col("n").alias("i"), "before", "ahead", F.explode(F.sequence(F.lit(0), run - 1)).alias("k"))
     fits = ends.where(f"ahead[k].clean_end and ahead[k].end - ahead[0].start between {lo} and {hi}")
     follow = sents.select(F.col("rec").alias("r2"), F.col("n").alias("n2"), F.struct("start", "n_words", "dead").alias("after"))
     out = fits.select("rec", "i", (F.col("i") + F.col("k")).alias("j"), F.expr("slice(ahead, 1, k + 1)").alias("w"), "before")
@@ -89,12 +91,12 @@ def signals() -> dict[str, Column]:
     }
 
 
-def scored(found: DataFrame) -> DataFrame:
+def scored(found: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """Add why, the signals that gave points (signal, points to one place), and score, their sum.
 
-    Tenths are summed as integers, so that equal scores are equal.
+    Tenths are summed as integers, so that equal scores are equal. without: signals that do not count.
     """
-    one = [F.struct(F.lit(name).alias("signal"), F.round(points.cast("double"), 1).alias("points")) for name, points in signals().items()]
+    one = [F.struct(F.lit(name).alias("signal"), F.round(points.cast("double"), 1).alias("points")) for name, points in signals().items() if name not in without]
     out = found.withColumn("why", F.filter(F.array(*one), lambda x: F.coalesce(x["points"], F.lit(0.0)) != 0))
     tenths = F.aggregate("why", F.lit(0), lambda a, x: a + F.round(x["points"] * 10).cast("int"))
     return out.withColumn("score", tenths / 10.0)

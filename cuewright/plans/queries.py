@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import cohort, intervals, rules, similarity, timed
 from ..sources import transcripts
-from . import captions, naming, profiles, reels, speech
+from . import captions, cards, naming, planning, profiles, reels, speech
 
 DAY, HOUR = 86400.0, 3600.0
 #: Words of the languages at hand that say nothing of a topic.
@@ -342,7 +342,7 @@ QUERIES = {
 
 
 def queries() -> dict:
-    return {name: q for name, (q, _) in QUERIES.items()} | speech.queries() | captions.queries() | reels.queries() | naming.queries() | profiles.queries()
+    return {name: q for name, (q, _) in QUERIES.items()} | speech.queries() | captions.queries() | reels.queries() | naming.queries() | profiles.queries() | planning.QUERIES | cards.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,13 +10,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import speech as X
+from ..functions.captions import VOICING
 from ..operators import reels, spoken
 from . import speech
 from .speech import FEATURES, SAID, WINDOWS, _has, _pick, _q
 
 HOUR = 3600.0
-#: Somebody is quoted.
-VOICING = r"(?:i|he|she|it|they|we|you|brain|mind|ego|voice|heart|body|spirit|everyone|people|somebody|someone)\s+(?:was\s+|were\s+|am\s+|is\s+|are\s+)?(?:say|says|said|saying|tell|tells|told|telling|think|thinks|thought|thinking|ask|asks|asked|asking)|i'?m\s+like|you'?re\s+like|they'?re\s+like|it'?s\s+like"
 TAPE = """ev AS (SELECT user_id AS u, event_id, epoch_us(ts) / 1e6 AS t FROM events),
 fl AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY u ORDER BY t, event_id) > 14400 THEN 1 ELSE 0 END AS new FROM ev),
 ru AS (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM fl),
