@@ -31,26 +31,30 @@ from .common import cut, free, keyed, read
 from .fertility import PIECES, VOCABULARY, encoding, public
 from .merges import gather
 
-CHUNK_BYTES, FLUSH_PAIRS, LIMIT = 1 << 20, 200_000, 500_000
+CHUNK_BYTES, FLUSH_PAIRS, LIMIT = 1 << 19, 200_000, 500_000
 STATS = ("n_a", "n_b", "n_groups", "n_links")
 #: No nested loops, whatever a range join's sides are thought to hold.
 SETTINGS = {"nested_loop_join_threshold": 0, "merge_join_threshold": 0, "threads": 1, "memory_limit": "1GB", "temp_directory": ""}
-#: Over a and b (doc, s, e, id): links (doc, key, k), where k links of a text share a pair of ids.
-FIRST = "CREATE OR REPLACE TEMP TABLE first AS SELECT a.doc, a.id AS x, a.e AS a_end, b.id AS y, b.e AS b_end FROM a ASOF JOIN b ON a.s >= b.s"
-WIDE = "CREATE OR REPLACE TEMP TABLE wide AS FROM first WHERE a_end > b_end"
-LINKS = """
-CREATE OR REPLACE TEMP TABLE links AS
-WITH further AS (SELECT w.doc, w.x, b.id AS y FROM wide w JOIN b ON b.s >= w.b_end AND b.s < w.a_end)
-SELECT doc, x * 65536 + y AS key, count(*) AS k FROM (SELECT doc, x, y FROM first UNION ALL SELECT * FROM further) GROUP BY ALL"""
+#: Over a and b (doc, s, e, id), step by step: tokens that cover the same bytes are a link and a group by themselves; the
+#: rest (ra, rb) meet by an ASOF join and a range join. links: doc, key, k, where k links of a text share a pair of ids.
+STEPS = [
+    "CREATE OR REPLACE TEMP TABLE same AS SELECT a.doc, a.s, a.id AS x, b.id AS y FROM a JOIN b USING (s, e)",
+    "CREATE OR REPLACE TEMP TABLE ra AS FROM a ANTI JOIN same USING (s)",
+    "CREATE OR REPLACE TEMP TABLE rb AS FROM b ANTI JOIN same USING (s)",
+    "CREATE OR REPLACE TEMP TABLE first AS SELECT ra.doc, ra.id AS x, ra.e AS a_end, rb.id AS y, rb.e AS b_end FROM ra ASOF JOIN rb ON ra.s >= rb.s",
+    "CREATE OR REPLACE TEMP TABLE wide AS FROM first WHERE a_end > b_end",
+    """CREATE OR REPLACE TEMP TABLE links AS
+    WITH further AS (SELECT w.doc, w.x, rb.id AS y FROM wide w JOIN rb ON rb.s >= w.b_end AND rb.s < w.a_end)
+    SELECT doc, x * 65536 + y AS key, count(*) AS k FROM (SELECT doc, x, y FROM same UNION ALL SELECT doc, x, y FROM first UNION ALL FROM further) GROUP BY ALL""",
+    "INSERT INTO counts SELECT key, count(*) FROM links GROUP BY key",
+]
 #: A text's distinct pairs.
 PAIRS = "SELECT doc, sum(k)::BIGINT AS n_links, list(key) AS keys, list(k) AS ks FROM links GROUP BY doc ORDER BY doc"
-#: All tokens, group by group, those of A first; what follows a token: 0 another of its side, 1 the other side, 2 another group.
+#: The rest's tokens, group by group (at: where it starts), those of A first; what follows a token: 0 another of its side, 1 the other side, 2 another group.
 GROUPS = """
-WITH a2 AS (SELECT a.*, 0 AS side, b.e IS NOT NULL AS done FROM a LEFT JOIN b USING (e)),
-b2 AS (SELECT b.*, 1 AS side, a.e IS NOT NULL AS done FROM b LEFT JOIN a USING (e)),
-sides AS (FROM a2 UNION ALL BY NAME FROM b2),
+WITH sides AS (SELECT ra.*, 0 AS side, rb.e IS NOT NULL AS done FROM ra LEFT JOIN rb USING (e) UNION ALL BY NAME SELECT rb.*, 1 AS side, ra.e IS NOT NULL AS done FROM rb LEFT JOIN ra USING (e)),
 grouped AS (SELECT *, coalesce(sum(done::INT) OVER (PARTITION BY side ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM sides)
-SELECT doc, side, id, CASE WHEN NOT done THEN 0 WHEN side = 0 THEN 1 ELSE 2 END AS follows FROM grouped ORDER BY g * 2 + side, s"""
+SELECT doc, min(s) OVER (PARTITION BY g) AS at, side, id, CASE WHEN NOT done THEN 0 WHEN side = 0 THEN 1 ELSE 2 END AS follows FROM grouped ORDER BY g * 2 + side, s"""
 
 
 def intervals(docs: np.ndarray, counts: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> pa.Table:
@@ -66,8 +70,8 @@ class Side:
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.surface = np.frombuffer(b"".join(tokens), np.uint8)
-        #: A token's id and what may follow it.
-        self.written = [f"{i}{mark}" for mark in ",|;" for i in range(len(tokens))]
+        #: A token's id and what may follow it, in the order of `follows`.
+        self.written = np.array([f"{i}{mark}" for mark in ",|;" for i in range(len(tokens))], object)
 
     def joined(self, ids: np.ndarray) -> bytes:
         return self.surface[gather(self.starts[ids], self.sizes[ids])].tobytes()
@@ -109,15 +113,18 @@ class Aligner:
             sizes[f"n_{name}"] = counts = np.array([len(x) for x in mine], np.int64)
             self.db.register("tokens", intervals(docs, counts, np.concatenate([*mine, np.zeros(0, np.int64)]), side.sizes))
             self._run(f"CREATE OR REPLACE TEMP TABLE {name} AS FROM tokens")
-        for step in (FIRST, WIDE, LINKS):
+        for step in STEPS:
             self._run(step)
-        self._run("INSERT INTO counts SELECT key, count(*) FROM links GROUP BY key")
-        doc, side, ids, follows = (c.to_numpy() for c in self.db.sql(GROUPS).to_arrow_table().columns)
-        ends = np.searchsorted(doc, docs, side="right").tolist()
-        sizes["n_groups"] = np.bincount(np.searchsorted(docs, doc[follows == 2]), minlength=len(docs))
-        written = [s.written for s in self.sides]
+        columns = lambda sql: [c.to_numpy() for c in self.db.sql(sql).to_arrow_table().columns]
+        doc, at, x, y = columns("FROM same")
+        doc2, at2, on, ids, follows = columns(GROUPS)
         n = [len(s.sizes) for s in self.sides]
-        said = [written[s][f * n[s] + i] for s, i, f in zip(side.tolist(), ids.tolist(), follows.tolist(), strict=True)]
+        said = self.sides[0].written[n[0] + x] + self.sides[1].written[2 * n[1] + y]
+        rest = np.where(on == 0, self.sides[0].written[np.where(on == 0, follows * n[0] + ids, 0)], self.sides[1].written[np.where(on == 1, follows * n[1] + ids, 0)])
+        order = np.argsort(np.concatenate((at, at2)), kind="stable")
+        said = np.concatenate((said, rest))[order].tolist()
+        ends = np.searchsorted(np.concatenate((doc, doc2))[order], docs, side="right").tolist()
+        sizes["n_groups"] = np.bincount(np.searchsorted(docs, np.concatenate((doc, doc2[follows == 2]))), minlength=len(docs))
         groups = ["".join(said[a:b])[:-1] for a, b in zip([0, *ends], ends, strict=False)]
         return docs, sizes, groups, self.db.sql(PAIRS).to_arrow_table()
 
