@@ -96,19 +96,27 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> dict:
 _MODEL = T.StructType([T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("matrix", T.BinaryType()), T.StructField("scale", T.DoubleType()), T.StructField("floor", T.DoubleType())])
 
 
-def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
-    """A model from rows with a lang whose crc32(doc_id) mod 5 is not 0."""
+def sample(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """text and lang of about max_rows rows of each language, whose crc32(doc_id) mod 5 is not 0.
+
+    Each row is drawn by its id and text, and of equal rows one is learned from, so the bounds hold however
+    many rows share an id.
+    """
     usable = docs.select("doc_id", "text", "lang").where((crc_mod("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = usable.groupBy("lang").agg(F.least(max_rows / F.count("*"), F.lit(float(MAX_TRAIN_BYTES)) / F.greatest(F.lit(1), F.sum(F.octet_length("text")))).alias("_share"))
-    sample = usable.join(small(cut(counts)), "lang").where(draw("langid", "doc_id") < F.col("_share")).select("text", "lang")
+    drawn = usable.join(small(cut(counts)), "lang").where(draw("langid", "doc_id", "text") < F.col("_share"))
+    return drawn.dropDuplicates(["lang", "text"]).select("text", "lang")
 
+
+def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
+    """A model from sample(docs)."""
     def run(pdf):
         import pandas as pd
 
         rows = [(t, g) for t, g in zip(pdf["text"], pdf["lang"], strict=True) if has_letter(t)]
         return pd.DataFrame([fit(rows)] if rows else [], columns=["langs", "matrix", "scale", "floor"])
 
-    found = sample.groupBy().applyInPandas(run, _MODEL).collect()
+    found = sample(docs, max_rows).groupBy().applyInPandas(run, _MODEL).collect()
     return found[0].asDict() if found else None
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, crc_mod, draw, mix, word_hashes
+from .common import U64, crc_mod, cut, draw, mix, small, word_hashes
 
 BITS, EPOCHS = 20, 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.5
@@ -70,21 +70,28 @@ def share_of(n: int, size: float, max_rows: int, max_bytes: int = MAX_TRAIN_BYTE
     return min(1.0, max_rows / max(1, n), max_bytes / max(1.0, size))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
-    """A model from labelled rows whose crc32(doc_id) mod 4 is not 2."""
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """text and _y of about max_rows labelled rows whose crc32(doc_id) mod 4 is not 2.
+
+    Rows are counted after they met their labels, drawn by id and text, and of equal rows one is learned from, so the
+    bounds hold however many rows share an id.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 4) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
-    size = docs.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
-    n = known.count()
-    chosen = known.where(draw("toxic", "doc_id") < share_of(n, n * size, max_rows))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "_y")  # at most about max_rows rows of two numbers
+    known = small(cut(known))
+    sizes = docs.select("doc_id", F.octet_length("text").alias("_size")).join(known, "doc_id").agg(F.count("*").alias("n"), F.sum("_size").alias("size")).first()
+    drawn = docs.select("doc_id", "text").where(draw("toxic", "doc_id", "text") < share_of(sizes["n"], sizes["size"] or 0, max_rows))
+    return drawn.join(known, "doc_id").dropDuplicates(["text", "_y"]).select("text", "_y")
 
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
+    """A model from sample(docs, labels)."""
     def run(pdf):
         import pandas as pd
 
         rows = [(t or "", int(y)) for t, y in zip(pdf["text"], pdf["_y"], strict=True)]
         return pd.DataFrame([fit(rows)], columns=["at", "weight", "bias"])
 
-    found = sample.groupBy().applyInPandas(run, _MODEL).collect()
+    found = sample(docs, labels, max_rows).groupBy().applyInPandas(run, _MODEL).collect()
     return found[0].asDict() if found else None
 
 

@@ -51,3 +51,13 @@ def test_weights_are_sparse():
 def test_pool_rises():
     edges, steps = quality.pool(np.arange(6.0), np.array([0, 2, 1, 1, 3, 4.0]), np.full(6, 4.0))
     assert (np.diff(steps) > 0).all() and len(edges) == len(steps)
+
+
+def test_samples_stay_bounded_where_rows_share_an_id(spark):
+    """Forty thousand rows of one id, half of them of one text: neither bound nor language is lost."""
+    rows = [(7, "the same words of one text again" if k % 2 else f"other words {k} of one id", "en") for k in range(40_000)] + [(k, f"andere Wörter {k} im Text", "de") for k in range(1, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    n = {r["lang"]: r["count"] for r in langid.sample(docs, 1000).groupBy("lang").count().collect()}
+    assert 300 < n["en"] < 1200 and 600 < n["de"] < 900
+    labels = spark.createDataFrame([(k, k % 2) for k in range(900)], "doc_id long, toxic int")
+    assert 100 < toxicity.sample(docs, labels, 500).count() < 600
