@@ -201,6 +201,17 @@ def accent(card: Column, least: float = 2.0) -> Column:
     return F.when(best >= least, F.get(F.filter(own, lambda t: score(t) == best), F.lit(0)))
 
 
+def bare(text: Column) -> Column:
+    """Without links, tags and handles."""
+    for pattern in (URL, HASHTAG, MENTION):
+        text = F.regexp_replace(text, pattern, " ")
+    return text
+
+
+def bare_words(text: Column) -> Column:
+    return _all(F.lower(bare(text)), r"[a-z][a-z'\-]*")
+
+
 def first_word(text: Column) -> Column:
     return F.regexp_extract(F.lower(text), r"[a-z][a-z'\-]*", 0)
 

@@ -91,12 +91,31 @@ def signals() -> dict[str, Column]:
     }
 
 
+def opening_verdicts(found: DataFrame, shapes: DataFrame) -> DataFrame:
+    """found with shape_points and hook_factor: what a niche's winners make of the window's first sentence. shapes: shape, lift, conf.
+
+    The points are measured; the factor, at most 1, is what the hand-set points of the hook are still worth where the
+    winners avoid the shape. Windows that open with no measured shape have none and 1.
+    """
+    from .profiles import shape_verdicts
+
+    key = F.struct("rec", "i").alias("sid")
+    lines = found.select(key, F.get("w", F.lit(0))["text"].alias("text")).dropDuplicates(["sid"])  # a window's start has one sentence
+    met = shape_verdicts(lines, shapes).select("sid.rec", "sid.i", F.col("points").alias("shape_points"), F.col("factor").alias("hook_factor"))
+    return found.join(met, ["rec", "i"], "left").withColumns({"shape_points": F.coalesce("shape_points", F.lit(0.0)), "hook_factor": F.coalesce("hook_factor", F.lit(1.0))})
+
+
 def scored(found: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """Add why, the signals that gave points (signal, points to one place), and score, their sum.
 
-    Tenths are summed as integers, so that equal scores are equal. without: signals that do not count.
+    Tenths are summed as integers, so that equal scores are equal. without: signals that do not count. Where found has
+    opening_verdicts, the hook is damped and niche_shape is a signal of its own.
     """
-    one = [F.struct(F.lit(name).alias("signal"), F.round(points.cast("double"), 1).alias("points")) for name, points in signals().items() if name not in without]
+    own = signals()
+    if "hook_factor" in found.columns:
+        shape = F.col("shape_points")
+        own = {"hook": own.pop("hook") * F.col("hook_factor"), "niche_shape": F.when(F.abs(shape) >= 0.1, shape), **own}
+    one = [F.struct(F.lit(name).alias("signal"), F.round(points.cast("double"), 1).alias("points")) for name, points in own.items() if name not in without]
     out = found.withColumn("why", F.filter(F.array(*one), lambda x: F.coalesce(x["points"], F.lit(0.0)) != 0))
     tenths = F.aggregate("why", F.lit(0), lambda a, x: a + F.round(x["points"] * 10).cast("int"))
     return out.withColumn("score", tenths / 10.0)

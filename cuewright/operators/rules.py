@@ -72,8 +72,7 @@ def clip_faults(clips: DataFrame) -> DataFrame:
         any_sentence(low(PLACEHOLDER), "says a placeholder out loud"),
     ]
     out = out.withColumn("faults", F.array_compact(F.array(*found)))
-    count = lambda s: F.size(F.filter("faults", lambda f: f["severity"] == s))
-    return out.withColumn("verdict", F.when(count("fatal") > 0, 2).when(count("serious") >= 2, 1).otherwise(0)).drop(*names)
+    return out.withColumn("verdict", _verdict()).drop(*names)
 
 
 def misheard_faults(clips: DataFrame, suspects: DataFrame) -> DataFrame:
@@ -83,6 +82,24 @@ def misheard_faults(clips: DataFrame, suspects: DataFrame) -> DataFrame:
     return by.select("id", F.lit("may contain a mis-heard word").alias("fault"), F.lit("serious").alias("severity"), "evidence")
 
 
+def sense(clips: DataFrame, suspects: DataFrame) -> DataFrame:
+    """clip_faults of clips (id, rec, sents, seconds) with mis-heard words among the faults and in the verdict, and note: their pace.
+
+    suspects: rec, heard, probably.
+    """
+    own = clip_faults(clips).withColumn("body", F.array_join("sents", " "))
+    heard = misheard_faults(own, suspects).select("id", F.struct("fault", "severity", "evidence").alias("x")).groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("more"))
+    both = own.join(heard, "id", "left").withColumn("faults", F.concat("faults", F.coalesce("more", F.array().cast(dict(own.dtypes)["faults"]))))
+    words = F.regexp_count("body", F.lit("[A-Za-z']+"))
+    return both.withColumn("verdict", _verdict()).withColumn("note", pace(words, F.col("seconds"))).drop("more", "body")
+
+
+def _verdict() -> Column:
+    """2: a fatal fault; 1: two serious ones; else 0."""
+    count = lambda s: F.size(F.filter("faults", lambda f: f["severity"] == s))
+    return F.when(count("fatal") > 0, 2).when(count("serious") >= 2, 1).otherwise(0)
+
+
 def pace(words: Column, seconds: Column) -> Column:
     """A note where speech is slower than 95 or faster than 210 words a minute."""
     rate = words / (seconds / 60.0)

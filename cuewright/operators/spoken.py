@@ -62,5 +62,5 @@ def strip_filler(words: DataFrame, hedges: bool = False) -> DataFrame:
     groups = rows.groupBy("rec", "group").agg(F.max("opens").alias("opens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("end").isNotNull(), F.struct("n", "end")))), lambda x: x["end"]), "").alias("ends"))
     capital = groups.select("rec", (F.col("group") + 1).alias("group"), F.col("opens").alias("capital"))
     kept = rows.where("not drop").select(*words.columns, "group").join(groups.select("rec", "group", "ends"), ["rec", "group"], "left").join(capital, ["rec", "group"], "left")
-    raised = F.when(F.coalesce("capital", F.lit(False)) & (F.col("word") == F.lower("word")), F.concat(F.upper(F.substring("word", 1, 1)), F.substring("word", 2, 1_000_000))).otherwise(F.col("word"))
+    raised = F.when(F.coalesce("capital", F.lit(False)) & (F.col("word") == F.lower("word")), F.concat(F.upper(F.substring("word", 1, 1)), F.expr("substring(word, 2)"))).otherwise(F.col("word"))
     return kept.withColumn("word", F.concat(raised, F.coalesce("ends", F.lit("")))).select(*words.columns)

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import speech as S
 from ..functions import text as X
 
-PAUSE, LONG_PAUSE, STUTTER = 0.6, 1.5, 0.6
+PAUSE, LONG_PAUSE, STUTTER, WEAK_PUNCTUATION = 0.6, 1.5, 0.6, 1 / 60
 
 
 def words(cues: DataFrame) -> DataFrame:
@@ -36,6 +37,32 @@ def sentences(words_: DataFrame, pause: float = LONG_PAUSE) -> DataFrame:
     return parts.groupBy("rec", "sid").agg(text.alias("text"), F.count("*").alias("n_words"), F.min("t0").alias("start"), F.max("t1").alias("end"))
 
 
+def spoken_sentences(words_: DataFrame, weak: float = WEAK_PUNCTUATION) -> DataFrame:
+    """rec, sid, text, n_words, start, end, clean_end, start_estimated, start_boundary: sentences as they are spoken.
+
+    A sentence ends before a change of speaker (`turn`, if there), at a word that is_terminal, and at a long pause
+    between cues. In a recording of which less than `weak` of the words end on a mark, marks do not count and shorter
+    pauses do. clean_end: on a mark, before a turn, at the end, or at a pause where marks do not count.
+    """
+    words_ = words_ if "turn" in words_.columns else words_.withColumn("turn", F.lit(False))
+    w, rec = Window.partitionBy("rec").orderBy("cue", "pos"), Window.partitionBy("rec")
+    nxt = {c: F.lead(c).over(w) for c in ("word", "cue", "t0", "turn")}
+    rows = words_.withColumns({**{f"next_{c}": x for c, x in nxt.items()}, "marked": S.ends_terminal(F.col("word"))})
+    rows = rows.withColumn("punct", F.avg(F.col("marked").cast("int")).over(rec) >= weak)
+    other = F.col("next_cue") != F.col("cue")
+    pause = other & (F.col("next_t0") - F.col("t1") >= F.when(F.col("punct"), LONG_PAUSE).otherwise(PAUSE))
+    why = F.when(F.col("next_cue").isNull(), "end").when(F.col("next_turn"), "turn").when(F.col("punct") & S.is_terminal(F.col("word"), F.col("next_word")), "punct").when(pause, "pause")
+    rows = rows.withColumn("why", why)
+    sid = F.coalesce(F.count("why").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.withColumn("sid", sid).groupBy("rec", "sid").agg(F.array_sort(F.collect_list(F.struct("cue", "pos", "word", "t0", "t1", "turn", "marked", "why", "punct"))).alias("x"))  # the words of one sentence
+    first, last = F.get("x", F.lit(0)), F.element_at("x", -1)
+    clean = last["marked"] | last["why"].isin("turn", "end") | (~last["punct"] & (last["why"] == "pause"))
+    out = parts.select("rec", "sid", F.array_join(F.transform("x", lambda x: x["word"]), " ").alias("text"), F.size("x").alias("n_words"), first["t0"].alias("start"), last["t1"].alias("end"), clean.alias("clean_end"), (first["pos"] > 0).alias("start_estimated"), first["turn"].alias("turn"), last["marked"].alias("marked"))
+    order = Window.partitionBy("rec").orderBy("sid")
+    boundary = F.when(F.col("sid") == 0, "file_start").when(F.lag("marked").over(order), "punctuation").when(F.col("turn"), "speaker_turn").otherwise("pause")
+    return out.withColumn("start_boundary", boundary).drop("turn", "marked")
+
+
 def silences(cues: DataFrame, least: float) -> DataFrame:
     """Cues that begin at least so long after the one before has ended."""
     gap = F.col("start") - F.lag("end").over(Window.partitionBy("rec").orderBy("cue"))

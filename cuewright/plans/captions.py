@@ -39,6 +39,9 @@ _count = lambda x, p: rf"len(regexp_extract_all({_ASCII(f'lower({x})')}, '\b(?:{
 _joined = lambda c: F.array_join(c, "|")
 TERMS = rf"""list_filter(list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''’\-]*'), lambda t: trim(t, '''’-')), lambda t: (length(t) >= 4 OR regexp_matches(t, '[0-9]')) AND t NOT IN ({_in(C.STOP)}))"""
 BITS = lambda x: rf"list_filter(list_transform(list_filter(regexp_extract_all(lower({x}), '[a-z0-9][a-z0-9''’\-]*'), lambda t: trim(t, '''’-') NOT IN ({_in(C.STOP)})), lambda t: trim(regexp_replace(t, '[''’]', '', 'g'), '-')), lambda t: t <> '')"
+PLAIN = lambda x: rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?s)```.*?```', ' ', 'g'),
+    '`([^`]*)`', '\1', 'g'), '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^\s{{0,3}}#{{1,6}}\s*', '', 'g'), '(?m)^\s{{0,3}}>\s?', '', 'g'), '(?m)^\s{{0,3}}[-*+]\s+', '', 'g'),
+    '(?m)^\s{{0,3}}\d+[.)]\s+', '', 'g'), '[*_]{{1,3}}([^*_]+)[*_]{{1,3}}', '\1', 'g')"""
 TAG, LINK = r"#\w+", r"https?://\S+|www\.\S+"
 
 
@@ -105,9 +108,7 @@ QUERIES = {
     ),
     "f10_plain_text": (
         lambda s, d: caps(s, d).select("sid", C.plain(F.col("text")).alias("text")),
-        rf"""WITH {SAID}, {CAPS} SELECT sid, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'),
-            '`([^`]*)`', '\1', 'g'), '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^\s{{0,3}}#{{1,6}}\s*', '', 'g'), '(?m)^\s{{0,3}}>\s?', '', 'g'), '(?m)^\s{{0,3}}[-*+]\s+', '', 'g'),
-            '(?m)^\s{{0,3}}\d+[.)]\s+', '', 'g'), '[*_]{{1,3}}([^*_]+)[*_]{{1,3}}', '\1', 'g') AS text FROM caps""",
+        f"WITH {SAID}, {CAPS} SELECT sid, {PLAIN('text')} AS text FROM caps",
     ),
     "a13_term_counts": (_terms, f"WITH {SAID}, {CAPS}, t AS (SELECT sid, unnest({TERMS}) AS term FROM caps) SELECT sid, term, count(*) AS n FROM t GROUP BY ALL"),
     "f24_topic_slug": (

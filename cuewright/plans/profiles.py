@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import captions as C
 from ..functions import speech as X
 from ..operators import cohort, profiles, rules
 from ..sources import results, transcripts
 from . import speech
-from .captions import CAPS, caps
+from .captions import CAPS, PLAIN, caps
 from .speech import FEATURES, SAID, WINDOWS, _q
 
 RESTART = r"sorry|scratch that|let me (?:try|start|rephrase)|hold on|wait,|what i mean|i mean|what was i|where was i|anyway"
@@ -60,7 +61,8 @@ def _bonus(s, d):
 
 def _own(s, d):
     raw = F.array(F.when(F.col("doc_id") % 3 > 0, F.col("doc_id").cast("string")), F.when(F.col("doc_id") % 7 > 0, F.substring("text", 1, 60)), F.when(F.col("doc_id") % 5 == 0, "n/a").otherwise(F.col("n_chars").cast("string")), (F.col("n_chars") % 100).cast("string"), F.lit("2024-01-01"))
-    return results.own_results(_t(s, d, "documents").select(raw.alias("raw")), METRICS, "view_rate")
+    found = results.own_results(_t(s, d, "documents").select(raw.alias("raw")), METRICS, "view_rate")
+    return found.select("title", "views", "views_actual", "ranked_by", "id", "has_sentence")
 
 
 def _voices(s, d):
@@ -142,8 +144,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT rec, n, CAST(bonus AS INT) AS bonus, NOT anaphor AND NOT restart AND filler = 0 AND d <= 14 AND bonus > 0 AS seed FROM c""",
         "s18_own_results": """WITH r AS (SELECT CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id AS VARCHAR) END AS i, CASE WHEN doc_id % 7 > 0 THEN trim(text[1:60]) ELSE '' END AS title, CASE WHEN doc_id % 5 > 0 THEN CAST(n_chars AS DOUBLE) END AS v, CAST(n_chars % 100 AS DOUBLE) AS k FROM documents)
             SELECT title, k AS views, v AS views_actual, 'view_rate' AS ranked_by, coalesce(i, '2024-01-01::' || title[1:40]) AS id, len(regexp_extract_all(regexp_replace(title, '#[A-Za-z0-9_]+', ' ', 'g'), '[A-Za-z'']{2,}')) >= 3 AS has_sentence FROM r WHERE title <> '' AND v IS NOT NULL AND k IS NOT NULL""",
-        "g10_refusals": rf"""WITH {SAID}, {CAPS}, p AS (SELECT 'k' || (sid % 60) AS source, unnest(regexp_split_to_array(text, '\n[ \t]*\n+')) AS part FROM caps),
-            q AS (SELECT source FROM p WHERE len(list_filter(regexp_split_to_array(part, '\s+'), lambda x: x <> '')) >= 3) SELECT source, count(*) AS samples, count(*) < 20 AS refused FROM q GROUP BY source""",
+        "g10_refusals": rf"""WITH {SAID}, {CAPS}, t AS (SELECT sid, {PLAIN("replace(replace(text, '‘', chr(39)), '’', chr(39))")} AS text FROM caps), p AS (SELECT 'k' || (sid % 60) AS source, unnest(regexp_split_to_array(text, '\n\s*\n')) AS part FROM t),
+            q AS (SELECT source FROM p WHERE len(regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(part, '{_q(C.URL)}', ' ', 'g'), '{_q(C.HASHTAG)}', ' ', 'g'), '{_q(C.MENTION)}', ' ', 'g')), '[a-z][a-z''\-]*')) >= 3) SELECT source, count(*) AS samples, count(*) < 20 AS refused FROM q GROUP BY source""",
         "s1_sniffed_cues": r"""WITH q AS (SELECT conv_id AS rec, turn, text, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS e FROM conversations)
             SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY turn) - 1 AS cue, e - length(text) AS start, e AS "end", trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM q WHERE length(text) > 0""",
         "s13_result_blocks": """WITH r AS (SELECT lang, source, doc_id, text[1:40] AS title, n_chars AS views, CASE WHEN doc_id % 5 > 0 THEN CAST(doc_id % 50 AS VARCHAR) ELSE text[1:40] END AS id FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND text <> '' AND n_chars IS NOT NULL),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import cohort, intervals, rules, similarity, timed
 from ..sources import transcripts
-from . import captions, cards, naming, planning, profiles, reels, speech
+from . import captions, cards, files, making, naming, planning, profiles, reels, speech, voices
 
 DAY, HOUR = 86400.0, 3600.0
 #: Words of the languages at hand that say nothing of a topic.
@@ -200,6 +200,46 @@ def _cards(s, d):
     return rules.card_faults(cards.withColumn("following", F.lead("start").over(Window.partitionBy("rec").orderBy("cue", "card"))), most=3, longest=2.0).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def _spoken(s, d):
+    """Words of conversations with 0.7 s between turns, a change of speaker at each third one; those of every fifth have no marks."""
+    own = _words(s, d).withColumns({"turn": (F.col("pos") == 0) & (F.col("cue") > 0) & (F.col("cue") % 3 == 0), "word": F.when(F.col("rec") % 5 == 0, F.regexp_replace("word", "[.?!]", "~")).otherwise(F.col("word"))})
+    out = timed.spoken_sentences(own.withColumns({c: F.round(F.col(c) + F.col("cue") * 0.7, 6) for c in ("t0", "t1")}))
+    return out.withColumns({c: F.round(c, 3) for c in ("start", "end")})
+
+
+SPOKEN_SENTENCES = "WITH " + WORD + rf""", a AS (SELECT rec, cue, pos, CASE WHEN rec % 5 = 0 THEN regexp_replace(word, '[.?!]', '~', 'g') ELSE word END AS word, round(t0 + cue * 0.7e0, 6) AS t0, round(t1 + cue * 0.7e0, 6) AS t1, pos = 0 AND cue > 0 AND cue % 3 = 0 AS turn FROM words),
+b AS (SELECT *, regexp_matches(word, '{_q(speech.X.TERMINAL)}') AS marked, lead(word) OVER o AS nw, lead(cue) OVER o AS nc, lead(t0) OVER o AS nt, lead(turn) OVER o AS nturn FROM a WINDOW o AS (PARTITION BY rec ORDER BY cue, pos)),
+c AS (SELECT *, avg(marked::INT) OVER (PARTITION BY rec) >= 1e0 / 60 AS punct FROM b),
+d AS (SELECT *, CASE WHEN nc IS NULL THEN 'end' WHEN nturn THEN 'turn' WHEN punct AND marked AND lower(word) NOT IN ({speech._in(speech.X.ABBREVIATIONS)}) AND (regexp_matches(word, '[?!]["'')\]”’]*$') OR regexp_matches(nw, '^["''“‘(\[]*[A-Z0-9]')) THEN 'punct'
+    WHEN nc <> cue AND nt - t1 >= CASE WHEN punct THEN 1.5e0 ELSE 0.6e0 END THEN 'pause' END AS why FROM c),
+e AS (SELECT *, count(why) OVER (PARTITION BY rec ORDER BY cue, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sid FROM d),
+f AS (SELECT rec, sid, string_agg(word, ' ' ORDER BY cue, pos) AS text, CAST(count(*) AS INT) AS n_words, round(arg_min(t0, cue * 100000 + pos), 3) AS start, round(arg_max(t1, cue * 100000 + pos), 3) AS "end",
+    arg_max(marked OR why IN ('turn', 'end') OR (NOT punct AND why = 'pause'), cue * 100000 + pos) AS clean_end, arg_min(pos, cue * 100000 + pos) > 0 AS start_estimated, arg_min(turn, cue * 100000 + pos) AS turn, arg_max(marked, cue * 100000 + pos) AS marked FROM e GROUP BY rec, sid)
+SELECT rec, sid, text, n_words, start, "end", clean_end, start_estimated, CASE WHEN sid = 0 THEN 'file_start' WHEN lag(marked) OVER (PARTITION BY rec ORDER BY sid) THEN 'punctuation' WHEN turn THEN 'speaker_turn' ELSE 'pause' END AS start_boundary FROM f"""
+
+
+def _sense(s, d):
+    """Conversations as clips, a turn a sentence, fifteen characters a second; suspects are those of j10_misheard."""
+    clips = _cues(s, d).groupBy("rec").agg(F.transform(F.array_sort(F.collect_list(F.struct("cue", "text"))), lambda x: x["text"]).alias("sents"), (F.max("end") / 15).alias("seconds"))
+    found = rules.sense(clips.withColumn("id", F.col("rec")), QUERIES["j10_misheard"][0](s, d))
+    return found.select("id", "verdict", F.array_join(F.transform("faults", lambda f: f["fault"]), "; ").alias("faults"), "note")
+
+
+#: Cards of four words, their ends closed over a breath, held for a while, and none over three seconds.
+CARD_FAULTS = "WITH " + WORD + rf""", c0 AS (SELECT rec, cue, pos // 4 AS card, string_agg(word, ' ' ORDER BY pos) AS text, min(t0) AS s, max(t1) AS e FROM words GROUP BY rec, cue, pos // 4),
+c1 AS (SELECT *, lead(s) OVER (PARTITION BY rec ORDER BY cue, card) AS nxt FROM c0), c2 AS (SELECT *, CASE WHEN nxt - e <= 0.5e0 THEN nxt ELSE e END AS closed FROM c1),
+c3 AS (SELECT rec, cue, card, text, s, least(greatest(closed, least(coalesce(nxt, s + 0.55e0), s + 0.55e0)), s + 3e0) AS e FROM c2), c4 AS (SELECT *, lead(s) OVER (PARTITION BY rec ORDER BY cue, card) AS nxt FROM c3 WHERE e > s),
+k AS (SELECT unnest([CASE WHEN len(list_filter(string_split(text, ' '), lambda x: x <> '')) > 3 THEN 'word-ceiling' END, CASE WHEN e - s > 2e0 THEN 'held' END, CASE WHEN nxt < e - 0.02e0 THEN 'overlap' END,
+    CASE WHEN regexp_matches(text, '{rules.FILLER}', 'i') THEN 'filler' END]) AS kind FROM c4) SELECT kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY kind"""
+#: The k-th choice is the first range, in the order of choice, after the one before that meets none of those chosen.
+GREEDY = "WITH RECURSIVE " + TAPE + ", " + LONG + """, r AS (SELECT id, s, e, floor((e - s) / 3600e0) AS score FROM lng),
+c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, e - s, s) AS place FROM r),
+g AS (SELECT id, s, e, score, 1 AS rank, place, [{'s': s, 'e': e}] AS kept FROM c WHERE place = 1
+    UNION ALL SELECT id, s, e, score, rank + 1, place, list_append(kept, {'s': s, 'e': e}) FROM (SELECT c.*, g.rank, g.kept, row_number() OVER (PARTITION BY c.id ORDER BY c.place) AS k FROM g JOIN c ON c.id = g.id AND c.place > g.place
+        WHERE g.rank < 3 AND len(list_filter(g.kept, lambda x: NOT (c.e <= x.s OR c.s >= x.e))) = 0) WHERE k = 1)
+SELECT id, s, e, CAST(score AS DOUBLE) AS score, CAST(rank AS INT) AS rank FROM g"""
+
+
 def _greedy(s, d):
     return intervals.greedy(_padded(s, d).withColumn("score", F.floor((F.col("e") - F.col("s")) / HOUR)))
 
@@ -321,8 +361,10 @@ QUERIES = {
     "t2_best_end": (_best_end, "WITH " + TAPE + f", r AS (SELECT DISTINCT a.id, a.s, b.e AS e2 FROM tape a JOIN tape b ON a.id = b.id AND b.s >= a.s AND b.e - a.s <= {2 * DAY}), sc AS (SELECT *, CAST(count(*) OVER (PARTITION BY id, s ORDER BY e2) * 10 - floor((e2 - s) / {HOUR}) AS BIGINT) AS score FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY id, s ORDER BY score DESC, e2 - s) AS k FROM sc) SELECT id, s, e2 AS e, score FROM p WHERE k = 1"),
     "g1_clip_faults": (_clip, f"WITH {SENT}, clips AS (SELECT id, sents FROM sn), {speech.CLIP_RULES} SELECT verdict, fault, severity, count(*) AS n FROM faulted GROUP BY ALL"),
     "g1_spoken_clips": (_spoken_clips, f"WITH {speech.SAID}, clips AS (SELECT rec AS id, list(text ORDER BY sid) AS sents FROM said GROUP BY rec), {speech.CLIP_RULES} SELECT id, verdict, fault, severity, evidence FROM faulted"),
-    "g5_card_faults": (_cards, None),
-    "t3_greedy_ranges": (_greedy, None),
+    "w4_spoken_sentences": (_spoken, SPOKEN_SENTENCES),
+    "g1_sense": (_sense, None),
+    "g5_card_faults": (_cards, CARD_FAULTS),
+    "t3_greedy_ranges": (_greedy, GREEDY),
     "w11_group_cards": (lambda s, d: timed.group_cards(_words(s, d)), None),
     "j10_misheard": (lambda s, d: similarity.misheard(_words(s, d).withColumn("pos", F.row_number().over(Window.partitionBy("rec").orderBy("cue", "pos")))), None),
     "k1_srt_round_trip": (_round_trip, "WITH " + CUE + ' SELECT rec, count(*) AS cues, max(e) AS "end" FROM cues WHERE e > s GROUP BY rec'),
@@ -342,8 +384,8 @@ QUERIES = {
 
 
 def queries() -> dict:
-    return {name: q for name, (q, _) in QUERIES.items()} | speech.queries() | captions.queries() | reels.queries() | naming.queries() | profiles.queries() | planning.QUERIES | cards.QUERIES
+    return {name: q for name, (q, _) in QUERIES.items()} | speech.queries() | captions.queries() | reels.queries() | naming.queries() | profiles.queries() | planning.QUERIES | cards.queries() | files.queries() | making.queries() | voices.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql} | speech.oracle_sql() | captions.oracle_sql() | reels.oracle_sql() | naming.oracle_sql() | profiles.oracle_sql()
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql} | speech.oracle_sql() | captions.oracle_sql() | reels.oracle_sql() | naming.oracle_sql() | profiles.oracle_sql() | cards.oracle_sql() | files.oracle_sql() | making.oracle_sql() | voices.oracle_sql()

@@ -45,10 +45,11 @@ def bracketed(files: DataFrame) -> DataFrame:
 
 
 def json_cues(files: DataFrame) -> DataFrame:
-    """rec, value -> cues from a bare list or one under segments, cues or transcript."""
+    """rec, value -> cues from a bare list or the first that is not empty under segments, cues or transcript."""
     one = "struct<start:string,start_time:string,end:string,end_time:string,text:string>"
     wrapped = F.from_json("value", f"struct<segments:array<{one}>,cues:array<{one}>,transcript:array<{one}>>")
-    rows = F.coalesce(wrapped["segments"], wrapped["cues"], wrapped["transcript"], F.from_json("value", f"array<{one}>"))
+    filled = [F.when(F.size(wrapped[k]) > 0, wrapped[k]) for k in ("segments", "cues", "transcript")]
+    rows = F.coalesce(*filled, F.from_json("value", f"array<{one}>"))
     x = files.select("rec", F.posexplode(rows).alias("ord", "c")).select("rec", "ord", "c.*")
     return _cues(x.select("rec", "ord", X.seconds(F.coalesce("start", "start_time")).alias("start"), X.seconds(F.coalesce("end", "end_time")).alias("end"), "text"))
 

@@ -42,13 +42,14 @@ def running(events: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str, folder: str) -> DataFrame:
-    """Run a stream over all that is there, each batch written to a table in the shared folder, and give that table.
+    """Run a stream over all that is there, each batch written to a part of a table in the shared folder, and give that table.
 
-    complete: the last batch holds everything. update: all batches, with their number as `batch`.
+    A batch that runs again after a failure overwrites its own part, so no row comes twice. complete: the last batch
+    holds everything. append, update: all batches, with their number as `batch`.
     """
 
     def write(df: DataFrame, batch: int) -> None:
-        df.withColumn("batch", F.lit(batch)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/table")
+        df.write.mode("overwrite").parquet(f"{folder}/table/batch={0 if mode == 'complete' else batch}")
 
     run = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()

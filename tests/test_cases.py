@@ -158,3 +158,42 @@ def test_state_goes_on_from_batch_to_batch(spark, tmp_path):
     assert sorted((r["user_id"], r["n"], r["total"]) for r in out) == [(1, 1, 1.0), (1, 2, 5.0), (1, 3, 21.0), (2, 1, 2.0), (2, 2, 10.0)]
     closed = events.drained(events.tumbling(stream), "append", f"{tmp_path}/late").collect()
     assert {(r["start"].day, r["n"]) for r in closed} == {(1, 2)}  # the third file's event of the first day came too late
+
+
+def test_misheard_words_and_pace_are_in_the_verdict(spark):
+    sents = ["It was lost, but then we won the coach is back.", "Everything was at risk that year.", "That changed me."]
+    clips = spark.createDataFrame([(1, 1, sents, 60.0), (2, 2, sents, 4.0), (3, 1, [], 0.0)], "id long, rec long, sents array<string>, seconds double")
+    got = {r["id"]: r for r in rules.sense(clips, spark.createDataFrame([(1, "coach is", "couches"), (1, "not there", "x")], "rec long, heard string, probably string")).collect()}
+    kinds = {i: [f["fault"] for f in r["faults"]] for i, r in got.items()}
+    assert "may contain a mis-heard word" in kinds[1] and "may contain a mis-heard word" not in kinds[2] and kinds[3] == ["empty"]
+    assert got[1]["note"] == "slow" and got[2]["note"] == "fast" and got[3]["note"] is None and got[3]["verdict"] == 2
+
+
+def test_samples_are_cleaned_before_their_floor_of_words(spark):
+    from cuewright.sources import results
+
+    texts = spark.createDataFrame([
+        ("a.md", "# One two\n\n**three** four five\n\n#tag @me https://x.y and\n\n- it’s a line"),
+        ("b.txt", "one two three\n= = =\nfour five six\n-*-*-\nno"),
+        ("c.SRT", "1\n00:00:01,000 --> 00:00:02,000\n<i>one two</i>\n\n2\n00:00:02,000 --> 00:00:03,000\nthree"),
+    ], "source string, text string")
+    got = {k: [(r["source"], r["ord"], r["kind"], r["text"]) for r in results.samples(texts, k).orderBy("source", "ord").collect()] for k in ("blank", "rule", "file")}
+    assert got["blank"] == [("a.md", 1, "written", "three four five"), ("a.md", 3, "written", "it's a line"), ("b.txt", 0, "written", "one two three\n= = =\nfour five six\n-*-*-\nno"), ("c.SRT", 0, "transcript", "one two three")]
+    assert [r for r in got["rule"] if r[0] == "b.txt"] == [("b.txt", 0, "written", "one two three"), ("b.txt", 1, "written", "four five six")]
+    assert [r[3] for r in got["file"] if r[0] == "c.SRT"] == ["one two three"]
+
+
+def test_optional_metrics_stay_where_they_were_asked_for(spark):
+    from cuewright.sources import results
+
+    rows = spark.createDataFrame([(["T here now", "10", "5", "n/a", "2024-01-01", "7"],), (["", "1", "1", "1", "1", "1"],)], "raw array<string>")
+    got = results.own_results(rows, ["IGPO03", "IGPO28", "IGPO27", "IGPO14", "IGPO01", "IGPO29"]).collect()
+    assert [(r["title"], r["views"], r["shares"], r["reach"], r["date"], r["follows"]) for r in got] == [("T here now", 10.0, 5.0, None, "2024-01-01", 7.0)]
+    assert "saved" not in got[0]
+
+
+def test_an_empty_first_list_hides_no_later_one(spark):
+    from cuewright.sources import transcripts
+
+    files = spark.createDataFrame([(1, '{"segments": [], "cues": [{"start": 0, "end": 1, "text": "a"}]}'), (2, '[{"start_time": "2", "end": "3", "text": "b"}]')], "rec long, value string")
+    assert [(r["rec"], r["start"], r["text"]) for r in transcripts.json_cues(files).orderBy("rec").collect()] == [(1, 0.0, "a"), (2, 2.0, "b")]
