@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import captions as C
 from ..functions.speech import split_words
-from ..operators import cardcheck, repair, sequences, timed
+from ..operators import cardcheck, sequences, timed
 from . import planning, speech
 from .captions import TOKS
 from .files import CARDS_SQL
@@ -92,7 +92,6 @@ QUERIES = {
     "g4_meaning": (lambda s, d: cardcheck.meaning(_placed(s, d), strict=True), None),
     "g5_mechanics": (lambda s, d: cardcheck.mechanics(cardcheck.tokenised(cards(s, d)), pieces(s, d), errors(s, d)), None),
     "g6_checked_cards": (lambda s, d: cardcheck.check(cards(s, d), segments(s, d), said(s, d), pieces(s, d), errors(s, d)), None),
-    "g8_repaired_cards": (lambda s, d: repair.repair(cards(s, d), segments(s, d), said(s, d), pieces(s, d), errors(s, d)).withColumns({c: F.round(c, 2) for c in ("start", "end")}), None),
     "w22_said_twice": (
         lambda s, d: cardcheck.said_twice(_long_lines(s, d)).select("rec", "n", F.array_join("pair.phrase", " ").alias("phrase"), F.array_join(F.transform("pair.tails", lambda t: F.array_join(t, " ")), "; ").alias("tails")),
         f"""WITH {SAID}, {FEATURES}, {_timed_sql}, l AS (SELECT rec, n, {TOKS("concat_ws(', ', text, lead(text) OVER w, lead(text, 2) OVER w)")} AS t FROM sn WINDOW w AS (PARTITION BY rec ORDER BY n)),
