@@ -201,12 +201,12 @@ QUERIES = {
         rf"""WITH RECURSIVE {SAID}, {FEATURES}, {WINDOWS}, be AS (SELECT *, row_number() OVER (PARTITION BY rec, i ORDER BY score DESC, t1 - t0, j) AS r FROM won),
         l0 AS (SELECT *, lag(ws[-1]) OVER w AS word, lag(s) OVER w AS ps, lag(e) OVER w AS pe, lag(clean_end) OVER w AND NOT lag(is_ack) OVER w AND lag(filler) OVER w = 0 AND NOT lag(promo) OVER w AND NOT lag(bad_opener) OVER w AS fine FROM sp WINDOW w AS (PARTITION BY rec ORDER BY n)),
         l1 AS (SELECT *, n = 0 OR coalesce(regexp_matches(word, '{_q(X.TERMINAL)}') AND lower(word) NOT IN ({_in(X.ABBREVIATIONS)}), false) OR coalesce(gap >= 0.6, false) AS starts FROM l0),
-        l2 AS (SELECT rec, n AS i, starts, coalesce(lag(starts) OVER (PARTITION BY rec ORDER BY n), false) AS lead_starts, CASE WHEN regexp_matches(text, '{_q(X.ANAPHOR)}', 'i') AND NOT is_question AND fine AND s - pe < 1 AND pe - ps <= 12 THEN ps END AS lead FROM l1),
-        c AS (SELECT be.rec, t0, t1, score, starts, lead_starts, lead, row_number() OVER (PARTITION BY be.rec ORDER BY score DESC, t1 - t0, be.i) AS place FROM be JOIN l2 ON l2.rec = be.rec AND l2.i = be.i WHERE r = 1),
+        l2 AS (SELECT rec, n AS i, starts, coalesce(lag(starts) OVER (PARTITION BY rec ORDER BY n), false) AS lead_starts, CASE WHEN regexp_matches(text, '{_q(X.ANAPHOR)}\b', 'i') AND NOT is_question AND fine AND s - pe < 1 AND pe - ps <= 12 THEN ps END AS early FROM l1),
+        c AS (SELECT be.rec, t0, t1, score, starts, lead_starts, early, row_number() OVER (PARTITION BY be.rec ORDER BY score DESC, t1 - t0, be.i) AS place FROM be JOIN l2 ON l2.rec = be.rec AND l2.i = be.i WHERE r = 1),
         g AS (SELECT DISTINCT rec, 0 AS rank, CAST(0 AS BIGINT) AS place, CAST([] AS STRUCT(s DOUBLE, e DOUBLE)[]) AS kept, 0e0 AS score, false AS led FROM c
-            UNION ALL SELECT rec, rank + 1, place, list_append(kept, {{'s': CASE WHEN led THEN lead ELSE t0 END, 'e': t1}}), score, led FROM (
+            UNION ALL SELECT rec, rank + 1, place, list_append(kept, {{'s': CASE WHEN led THEN early ELSE t0 END, 'e': t1}}), score, led FROM (
                 SELECT *, row_number() OVER (PARTITION BY rec ORDER BY place) AS k FROM (
-                    SELECT c.*, g.rank, g.kept, coalesce(c.t1 - c.lead <= 75 AND len(list_filter(g.kept, lambda x: least(c.t1, x.e) - greatest(c.lead, x.s) > 0)) = 0, false) AS led FROM g JOIN c ON c.rec = g.rec AND c.place > g.place
+                    SELECT c.*, g.rank, g.kept, coalesce(c.t1 - c.early <= 75 AND len(list_filter(g.kept, lambda x: least(c.t1, x.e) - greatest(c.early, x.s) > 0)) = 0, false) AS led FROM g JOIN c ON c.rec = g.rec AND c.place > g.place
                     WHERE g.rank < 5 AND len(list_filter(g.kept, lambda x: least(c.t1, x.e) - greatest(c.t0, x.s) > 0)) = 0)
                 WHERE CASE WHEN led THEN lead_starts ELSE starts END) WHERE k = 1)
         SELECT rec, CAST(rank AS INT) AS rank, kept[-1].s AS start, kept[-1].e AS "end", score, led AS lead_in, CASE WHEN score >= 50 THEN 'strong' WHEN score >= 35 THEN 'usable' ELSE 'weak' END AS strength FROM g WHERE rank > 0""",
