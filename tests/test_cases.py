@@ -173,12 +173,12 @@ def test_samples_are_cleaned_before_their_floor_of_words(spark):
     from cuewright.sources import results
 
     texts = spark.createDataFrame([
-        ("a.md", "# One two\n\n**three** four five\n\n#tag @me https://x.y and\n\n- it’s a line"),
+        ("a.md", "# One two\n\n**three** four five\n\nand #tag @me https://x.y\n\nit’s a line"),
         ("b.txt", "one two three\n= = =\nfour five six\n-*-*-\nno"),
         ("c.SRT", "1\n00:00:01,000 --> 00:00:02,000\n<i>one two</i>\n\n2\n00:00:02,000 --> 00:00:03,000\nthree"),
     ], "source string, text string")
     got = {k: [(r["source"], r["ord"], r["kind"], r["text"]) for r in results.samples(texts, k).orderBy("source", "ord").collect()] for k in ("blank", "rule", "file")}
-    assert got["blank"] == [("a.md", 1, "written", "three four five"), ("a.md", 3, "written", "it's a line"), ("b.txt", 0, "written", "one two three\n= = =\nfour five six\n-*-*-\nno"), ("c.SRT", 0, "transcript", "one two three")]
+    assert got["blank"] == [("a.md", 1, "written", "three four five"), ("a.md", 3, "written", "it's a line"), ("b.txt", 0, "written", "one two three\n= = =\nfour five six\n---\nno"), ("c.SRT", 0, "transcript", "one two three")]
     assert [r for r in got["rule"] if r[0] == "b.txt"] == [("b.txt", 0, "written", "one two three"), ("b.txt", 1, "written", "four five six")]
     assert [r[3] for r in got["file"] if r[0] == "c.SRT"] == ["one two three"]
 
