@@ -53,6 +53,36 @@ def shared(ranges: DataFrame, width: float, merge: bool = True) -> DataFrame:
     return overlaps(own, own, width, same=True).groupBy("id_a", "id_b").agg(F.sum(length).alias("seconds"), F.count("*").alias("parts"), F.max(length).alias("longest"))
 
 
+def coverage(spans: DataFrame, ranges: DataFrame, width: float) -> DataFrame:
+    """For each span (id, s, e) that shares time with any of ranges (s, e): id, parts (how many) and seconds shared.
+
+    No pair is made: the parts are the ranges that begin before the span's end less those over by its start, and the
+    time filled before an instant follows from the starts and ends before it. These are counted inside buckets of
+    WIDTH, moved by the buckets before; a bucket holds a row for each instant. Sums are whole microseconds.
+    """
+    micros = lambda c: F.round(F.col(c) * 1e6).cast("bigint").cast("decimal(38,0)")
+    spans = spans.where("e >= s")
+    own = ranges.where("e > s")
+    mark = lambda df, c, k, n: df.select((F.col(c) + 0.0).alias("x"), F.lit(k).alias("start"), F.lit(n).alias("end"))
+    marks = mark(own, "s", 1, 0).unionByName(mark(own, "e", 0, 1)).unionByName(mark(spans, "s", 0, 0)).unionByName(mark(spans, "e", 0, 0))
+    at = marks.groupBy("x").agg(F.sum("start").alias("starts"), F.sum("end").alias("ends")).withColumn("bucket", F.floor(F.col("x") / width))
+    # what the starts and ends of one instant add: their numbers, and what they add to the filled time (as open * x - fill)
+    at = at.withColumn("fill", (micros("x") * (F.col("starts") - F.col("ends"))).cast("decimal(38,0)"))
+    sums = ["starts", "ends", "fill"]
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(38,0)"))
+    offsets = at.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in sums]).select("bucket", *[zero(F.sum(c).over(before)).alias(f"{c}_off") for c in sums])
+    inner = Window.partitionBy("bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    known = at.withColumns({f"{c}_in": zero(F.sum(c).over(inner)) for c in sums}).join(offsets, "bucket")
+    known = known.select("x", *[(F.col(f"{c}_in") + F.col(f"{c}_off")).cast("decimal(38,0)").alias(f"{c}_before") for c in sums], "ends")
+    filled = (micros("x") * (F.col("starts_before") - F.col("ends_before")).cast("decimal(18,0)") - F.col("fill_before")).cast("decimal(38,0)")
+    known = known.select("x", F.col("starts_before").cast("bigint").alias("begun"), (F.col("ends_before") + F.col("ends")).cast("bigint").alias("over"), filled.alias("filled"))
+    side = lambda c: known.select(F.col("x").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("begun", "over", "filled")])
+    both = spans.join(side("s"), "s").join(side("e"), "e")
+    seconds = ((F.col("filled_e") - F.col("filled_s")).cast("double") / 1e6).alias("seconds")
+    return both.select("id", (F.col("begun_e") - F.col("over_s")).alias("parts"), seconds).where("parts > 0")
+
+
 def locate(points: DataFrame, segments: DataFrame, width: float) -> DataFrame:
     """Point-in-interval join, first segment wins: points (p, t), segments (ord, s, e, base) -> p, ord, at."""
     seg = segments.select("*", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))).alias("bucket"))

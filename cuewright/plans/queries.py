@@ -139,8 +139,7 @@ def _locate_all(s, d):
 
 def _intersect_all(s, d):
     """For each user's month, shared time with every island of every user."""
-    hit = intervals.overlaps(intervals.islands(_padded(s, d)), _month(s, d), 6 * HOUR)
-    return hit.groupBy("id_b").agg(F.count("*").alias("parts"), F.sum(F.col("e") - F.col("s")).alias("seconds"))
+    return intervals.coverage(_month(s, d), intervals.islands(_padded(s, d)), HOUR).withColumnRenamed("id", "id_b")
 
 
 def _band(s, d):
