@@ -59,8 +59,11 @@ def strip_filler(words: DataFrame, hedges: bool = False) -> DataFrame:
     counts = F.col("drop") & ~F.col("pair")  # a pair is one dropped thing
     opens = counts & ((F.col("group") == 0) | (F.col("end").isNull() & (kept_end | before)))
     rows = rows.withColumn("opens", F.coalesce(opens, F.lit(False)))
-    groups = rows.groupBy("rec", "group").agg(F.max("opens").alias("opens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("end").isNotNull(), F.struct("n", "end")))), lambda x: x["end"]), "").alias("ends"))
-    capital = groups.select("rec", (F.col("group") + 1).alias("group"), F.col("opens").alias("capital"))
-    kept = rows.where("not drop").select(*words.columns, "group").join(groups.select("rec", "group", "ends"), ["rec", "group"], "left").join(capital, ["rec", "group"], "left")
-    raised = F.when(F.coalesce("capital", F.lit(False)) & (F.col("word") == F.lower("word")), F.concat(F.upper(F.substring("word", 1, 1)), F.expr("substring(word, 2)"))).otherwise(F.col("word"))
-    return kept.withColumn("word", F.concat(raised, F.coalesce("ends", F.lit("")))).select(*words.columns)
+    # a row for each group: its kept word, the ends of those dropped behind it, and whether the next group's word then opens a sentence
+    ends = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("end").isNotNull(), F.struct("n", "end")))), lambda x: x["end"]), "")
+    own = F.first(F.when(~F.col("drop"), F.struct(*words.columns)), ignorenulls=True)
+    groups = rows.groupBy("rec", "group").agg(F.max("opens").alias("opens"), ends.alias("ends"), own.alias("own"))
+    capital = F.coalesce(F.lag("opens").over(Window.partitionBy("rec").orderBy("group")), F.lit(False))
+    kept = groups.withColumn("capital", capital).where("own is not null").select("own.*", "ends", "capital")
+    raised = F.when(F.col("capital") & (F.col("word") == F.lower("word")), F.concat(F.upper(F.substring("word", 1, 1)), F.expr("substring(word, 2)"))).otherwise(F.col("word"))
+    return kept.withColumn("word", F.concat(raised, "ends")).select(*words.columns)

@@ -25,3 +25,9 @@ def test_coverage_counts_without_pairs(spark, sf):
         got = intervals.coverage(spark.createDataFrame(spans, kind), spark.createDataFrame(ranges, kind), width)
         assert {tuple(r) for r in got.collect()} == want
     assert "Generate" not in plan(plans.queries()["u4_intersect"](spark, sf))  # nothing is dealt into buckets to be paired
+
+
+def test_words_without_filler_are_not_joined(spark, sf):
+    # a table that words or settings were exploded from looks small, so a join of them would be sent to the driver whole
+    for name in ("f8_without_filler",):
+        assert "Join" not in plan(plans.queries()[name](spark, sf)).replace("JoinSelection", "")
