@@ -107,12 +107,14 @@ def merged(layers: DataFrame) -> DataFrame:
     and an object there replaces a single value. layers: id, layer (a number; the highest wins), value (JSON).
     """
     own = leaves(layers)
+    # a leaf is looked at from every place on its way, an object from its own place
+    way = F.when(F.col("leaf").isNull(), F.array("path")).otherwise(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k)))
+    seen = own.withColumn("at", F.explode(way)).withColumn("here", F.size("at") == F.size("path"))
     # the highest layer that puts something at a place, and the highest that puts no object there
-    places = own.groupBy("id", "path").agg(F.max("layer").alias("any"), F.max(F.when(F.col("leaf").isNotNull(), F.col("layer"))).alias("plain"))
-    ahead = own.where("leaf is not null").withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k))))
-    met = ahead.join(places.withColumnRenamed("path", "at"), ["id", "at"])
-    over = F.when(F.size("at") == F.size("path"), F.col("any") > F.col("layer")).otherwise(F.coalesce(F.col("plain") > F.col("layer"), F.lit(False)))
-    return met.groupBy("id", "path", "layer").agg(F.max("leaf").alias("leaf"), F.bool_or(over).alias("hidden")).where("not hidden").select("id", "path", "leaf", "layer")
+    place = Window.partitionBy("id", "at")
+    met = seen.withColumns({"any": F.max(F.when(F.col("here"), F.col("layer"))).over(place), "plain": F.max(F.when(F.col("here") & F.col("leaf").isNotNull(), F.col("layer"))).over(place)})
+    over = F.when(F.col("here"), F.col("any") > F.col("layer")).otherwise(F.coalesce(F.col("plain") > F.col("layer"), F.lit(False)))
+    return met.where("leaf is not null").groupBy("id", "path", "layer").agg(F.max("leaf").alias("leaf"), F.bool_or(over).alias("hidden")).where("not hidden").select("id", "path", "leaf", "layer")
 
 
 def table(settings: DataFrame, columns: dict[str, str]) -> DataFrame:

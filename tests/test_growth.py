@@ -29,5 +29,5 @@ def test_coverage_counts_without_pairs(spark, sf):
 
 def test_words_without_filler_are_not_joined(spark, sf):
     # a table that words or settings were exploded from looks small, so a join of them would be sent to the driver whole
-    for name in ("f8_without_filler",):
+    for name in ("f8_without_filler", "s26_layers"):
         assert "Join" not in plan(plans.queries()[name](spark, sf)).replace("JoinSelection", "")
