@@ -31,3 +31,22 @@ def test_words_without_filler_are_not_joined(spark, sf):
     # a table that words or settings were exploded from looks small, so a join of them would be sent to the driver whole
     for name in ("f8_without_filler", "s26_layers"):
         assert "Join" not in plan(plans.queries()[name](spark, sf)).replace("JoinSelection", "")
+
+
+def test_each_group_reads_groups_across_batches(spark):
+    from cuewright.operators.grouped import each_group
+
+    rows = [(k, n, f"t{n}") for k in (*range(50), None) for n in range(k or 7)] * 2
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    try:
+        run = lambda own: [(len(own), ",".join(t for _, _, t in own))]
+        got = each_group(spark.createDataFrame(rows, "k long, n int, t string"), "k", ["n"], run, "size int, all string").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    own = lambda k: sorted((n, t) for x, n, t in rows if x == k)
+    assert {tuple(r) for r in got} == {(k, len(own(k)), ",".join(t for _, t in own(k))) for k in (*range(50), None)} and len(got) == 51
+
+
+def test_small_groups_have_no_data_frame_each(spark, sf):
+    for name in ("w16_beats_of_cards", "m6_lined_up", "a21_scorecard"):
+        assert "FlatMapGroups" not in plan(plans.queries()[name](spark, sf))
