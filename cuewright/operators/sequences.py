@@ -5,10 +5,14 @@ Pairs: id, a, b (arrays of words).
 
 from __future__ import annotations
 
+import difflib
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import captions as C
+from .grouped import each_group
 
 GAP, PAIR_FLOOR, NEAR, FAR, APART = -0.45, 0.40, 1.0, 8.0, 24.0
 
@@ -53,51 +57,53 @@ def line_up(a: DataFrame, b: DataFrame) -> DataFrame:
     apart never pair. Each choice rests on all before it, so one function lines up one piece; pieces are many and
     have a few hundred cards at most. Cards stand in the order of start and card.
     """
-    kind = dict(a.dtypes)
-
-    def run(pdf):
-        import difflib
-
-        import numpy as np
 
-        left, right = (pdf[pdf["side"] == s].sort_values(["start", "card"], kind="stable").reset_index(drop=True) for s in (0, 1))
+    def run(rows):
+        left, right = ([r for r in rows if r[1] == s] for s in (0, 1))
         n, m = len(left), len(right)
-        score = np.full((n, m), -99.0)
-        for j in range(m):
-            match = difflib.SequenceMatcher(None, "", right["flat"][j])
-            for i in range(n):
-                apart = abs(left["start"][i] - right["start"][j])
-                match.set_seq1(left["flat"][i])
-                # upper bounds first; the ratio only where it can count
-                if apart > NEAR and (match.real_quick_ratio() < PAIR_FLOOR or match.quick_ratio() < PAIR_FLOOR):
-                    continue
-                # the ratio looks from the first list's text at the second's
-                like = difflib.SequenceMatcher(None, left["flat"][i], right["flat"][j]).ratio()
+        score = [[-99.0] * m for _ in range(n)]
+        for i, (_, _, _, x, at) in enumerate(left):
+            for j, (_, _, _, y, other) in enumerate(right):
+                apart = abs(at - other)
+                like = _ratio(x, y) if apart <= NEAR else _ratio_above(x, y)
                 if like >= PAIR_FLOOR or apart <= NEAR:
-                    score[i, j] = like - min(apart, FAR) / APART
-        best = np.zeros((n + 1, m + 1))
-        best[:, 0], best[0, :] = GAP * np.arange(n + 1), GAP * np.arange(m + 1)
+                    score[i][j] = like - min(apart, FAR) / APART
+        best = [[GAP * j for j in range(m + 1)]]
         for i in range(1, n + 1):
-            up = np.maximum(best[i - 1, :-1] + score[i - 1], best[i - 1, 1:] + GAP)
+            above, own = best[-1], [GAP * i]
             for j in range(1, m + 1):
-                best[i, j] = max(up[j - 1], best[i, j - 1] + GAP)
+                own.append(max(above[j - 1] + score[i - 1][j - 1], above[j] + GAP, own[j - 1] + GAP))
+            best.append(own)
         i, j, out = n, m, []
         while i or j:
-            if i and j and abs(best[i, j] - best[i - 1, j - 1] - score[i - 1, j - 1]) < 1e-9:
+            if i and j and abs(best[i][j] - best[i - 1][j - 1] - score[i - 1][j - 1]) < 1e-9:
                 i, j = i - 1, j - 1
-                out.append((left["card"][i], right["card"][j]))
-            elif i and abs(best[i, j] - best[i - 1, j] - GAP) < 1e-9:
+                out.append((left[i][2], right[j][2]))
+            elif i and abs(best[i][j] - best[i - 1][j] - GAP) < 1e-9:
                 i -= 1
-                out.append((left["card"][i], None))
+                out.append((left[i][2], None))
             else:
                 j -= 1
-                out.append((None, right["card"][j]))
-        rows = [(pdf["piece"].iloc[0], place, x, y) for place, (x, y) in enumerate(reversed(out), 1)]
-        frame = type(pdf)(rows, columns=["piece", "place", "card_a", "card_b"])
-        return frame.astype({"card_a": "Int64", "card_b": "Int64"})
+                out.append((None, right[j][2]))
+        return [(place, x, y) for place, (x, y) in enumerate(reversed(out), 1)]
+
+    side = lambda cards, s: cards.select("piece", F.lit(s).alias("side"), F.col("card").cast("long").alias("card"), C.flat(F.coalesce("text", F.lit(""))).alias("flat"), F.coalesce("start", F.lit(0.0)).alias("start"))
+    return each_group(side(a, 0).unionByName(side(b, 1)), "piece", ["start", "card"], run, "place int, card_a long, card_b long")
+
+
+@lru_cache(1 << 16)
+def _ratio(x: str, y: str) -> float:
+    """How alike two texts are, looking from the first at the second."""
+    return 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio()
+
 
-    side = lambda cards, s: cards.select("piece", F.col("card").cast("long").alias("card"), C.flat(F.coalesce("text", F.lit(""))).alias("flat"), F.coalesce("start", F.lit(0.0)).alias("start"), F.lit(s).alias("side"))
-    return side(a, 0).unionByName(side(b, 1)).groupBy("piece").applyInPandas(run, f"piece {kind['piece']}, place int, card_a long, card_b long")
+@lru_cache(1 << 16)
+def _ratio_above(x: str, y: str) -> float:
+    """The ratio; 0 where an upper bound of it is below the floor of pairs."""
+    if x == y:
+        return 1.0
+    match = difflib.SequenceMatcher(None, x, y)
+    return match.ratio() if match.real_quick_ratio() >= PAIR_FLOOR and match.quick_ratio() >= PAIR_FLOOR else 0.0
 
 
 def scorecard(lined: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
