@@ -50,3 +50,15 @@ def test_each_group_reads_groups_across_batches(spark):
 def test_small_groups_have_no_data_frame_each(spark, sf):
     for name in ("w16_beats_of_cards", "m6_lined_up", "a21_scorecard"):
         assert "FlatMapGroups" not in plan(plans.queries()[name](spark, sf))
+
+
+def test_names_write_words_without_their_sentences(spark, monkeypatch):
+    from cuewright.operators import titles
+
+    written, settle = [], titles.settle
+    monkeypatch.setattr(titles, "settle", lambda df: written.append(df.columns) or settle(df))
+    texts = spark.createDataFrame([(1, "The market fell on bad news. Prices rise again in spring."), (2, "A second market fell.")], "id long, text string")
+    first = {r["id"]: r["name"] for r in titles.candidates(texts).where("rank = 1").collect()}
+    assert len(first) == 2 and not any("said" in columns for columns in written)
+    monkeypatch.setattr(titles, "VOCABULARY", 1)  # the joined way beyond gives the same
+    assert {r["id"]: r["name"] for r in titles.candidates(texts).where("rank = 1").collect()} == first
