@@ -62,3 +62,18 @@ def test_names_write_words_without_their_sentences(spark, monkeypatch):
     assert len(first) == 2 and not any("said" in columns for columns in written)
     monkeypatch.setattr(titles, "VOCABULARY", 1)  # the joined way beyond gives the same
     assert {r["id"]: r["name"] for r in titles.candidates(texts).where("rank = 1").collect()} == first
+
+
+def test_assembly_has_no_data_frame_each(spark, sf):
+    for name in ("t4_assembled", "t4_assembled_spoken", "t5_pieces", "t4_problems"):
+        assert "FlatMapGroups" not in plan(plans.queries()[name](spark, sf))
+
+
+def test_tape_that_is_too_short_makes_no_piece():
+    import numpy as np
+
+    from cuewright.operators.planning import _tape
+
+    at = lambda *pairs: _tape(*(np.array(c, float) for c in zip(*pairs, strict=True)))
+    assert at((0, 4), (2, 6), (1, 3), (8, 9), (8, 8.5)) == 7.0 and at((5, 9), (0, 10)) == 10.0
+    assert _tape(np.zeros(0), np.zeros(0)) == 0.0
