@@ -77,3 +77,18 @@ def test_tape_that_is_too_short_makes_no_piece():
     at = lambda *pairs: _tape(*(np.array(c, float) for c in zip(*pairs, strict=True)))
     assert at((0, 4), (2, 6), (1, 3), (8, 9), (8, 8.5)) == 7.0 and at((5, 9), (0, 10)) == 10.0
     assert _tape(np.zeros(0), np.zeros(0)) == 0.0
+
+
+def test_clips_are_tallied_without_a_row_for_each(spark):
+    from pyspark.sql import functions as F
+
+    from cuewright.operators import shelf as S
+
+    rng = random.Random(3)
+    words = ["red", "reds", "house", "houses", "housetop", "river", "it's", "boat"]
+    some = lambda n: [rng.choice(words) for _ in range(rng.randrange(n))]
+    shelf = spark.createDataFrame([(f"c{k}", " ".join(some(3) + ["view"]), some(4), 2.0, None, True) for k in range(60)], "id string, label string, keywords array<string>, duration double, problem string, usable boolean")
+    beats = spark.createDataFrame([(k // 4, k % 4, " ".join(some(6))) for k in range(40)] + [(None, 1, "red boat view"), (90, None, None)], "piece long, beat long, text string")
+    want = S.scores(beats, shelf).groupBy("piece", "beat").agg(F.count("*").alias("clips"), F.max("score").alias("best"))
+    got = S.tally(beats, shelf)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 20
