@@ -92,3 +92,7 @@ def test_clips_are_tallied_without_a_row_for_each(spark):
     want = S.scores(beats, shelf).groupBy("piece", "beat").agg(F.count("*").alias("clips"), F.max("score").alias("best"))
     got = S.tally(beats, shelf)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 20
+
+
+def test_layers_have_no_data_frame_each(spark, sf):
+    assert "FlatMapGroups" not in plan(plans.queries()["t7_layers"](spark, sf))
