@@ -96,3 +96,27 @@ def test_clips_are_tallied_without_a_row_for_each(spark):
 
 def test_layers_have_no_data_frame_each(spark, sf):
     assert "FlatMapGroups" not in plan(plans.queries()["t7_layers"](spark, sf))
+
+
+def test_windows_are_not_joined_and_scored_once(spark, sf):
+    for name in ("g2_window_signals", "a14_best_end"):
+        own = plan(plans.queries()[name](spark, sf))
+        # the one join brings what is known of the different texts; the optimiser copies no scoring into a filter
+        assert "n2#" not in own and own.count("question_then_answer") == 1
+
+
+def test_texts_are_looked_at_once_each(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from cuewright.functions import speech as X
+
+    rows = [(k, t) for k, t in enumerate(["But why?", None, "", "But why?", "Dana Smith won 40%."] * 3)]
+    said = spark.createDataFrame(rows, "k long, text string")
+    want = sorted(map(str, said.withColumns(X.features(F.col("text"))).collect()))
+    for few in (20_000, 2):  # broadcast, and the way beyond
+        monkeypatch.setattr(X, "FEW", few)
+        assert sorted(map(str, X.once_each(said, X.features(F.col("text"))).collect())) == want
+
+
+def test_picks_have_no_data_frame_each(spark, sf):
+    assert "FlatMapGroups" not in plan(plans.queries()["t3_pick_moments"](spark, sf))
