@@ -120,3 +120,97 @@ def test_texts_are_looked_at_once_each(spark, monkeypatch):
 
 def test_picks_have_no_data_frame_each(spark, sf):
     assert "FlatMapGroups" not in plan(plans.queries()["t3_pick_moments"](spark, sf))
+
+
+def _taped(n):
+    """Ranges of n ids of which each three have the very same ones, some inside others, and a null id."""
+    rng = random.Random(11)
+    at = lambda: rng.randrange(60) * 0.5
+    tapes = [[tuple(sorted((at(), at()))) for _ in range(rng.randrange(1, 5))] for _ in range(n // 3)]
+    return [(k * 7 % n, s, e) for k in range(n) for s, e in tapes[k % len(tapes)] if e > s] + [(None, 0.0, 30.0)]
+
+
+def _merged(own):
+    out = []
+    for s, e in sorted(own):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _met(rows, merge):
+    """id_a, id_b -> shared parts (s, e), by plain loops."""
+    tapes = {i: [(s, e) for k, s, e in rows if k == i] for i in {i for i, _, _ in rows if i is not None}}
+    tapes = {i: _merged(own) if merge else own for i, own in tapes.items()}
+    met = {(a, b): [(max(s, t), min(e, f)) for s, e in tapes[a] for t, f in tapes[b] if s < f and t < e] for a in tapes for b in tapes if a < b}
+    return tapes, {k: v for k, v in met.items() if v}
+
+
+def _ids_met(monkeypatch):
+    ids, overlaps = [], intervals.overlaps
+    monkeypatch.setattr(intervals, "overlaps", lambda a, b, *rest, **named: ids.append(a.select("id").distinct().count()) or overlaps(a, b, *rest, **named))
+    return ids
+
+
+def test_copies_share_tape_without_meeting(spark, monkeypatch):
+    rows, ids = _taped(30), _ids_met(monkeypatch)
+    for members in (intervals.MEMBERS, 0):  # with and without a broadcast of the ids
+        monkeypatch.setattr(intervals, "MEMBERS", members)
+        for merge in (True, False):
+            _, met = _met(rows, merge)
+            want = {(a, b, sum(e - s for s, e in own), len(own), max(e - s for s, e in own)) for (a, b), own in met.items()}
+            got = intervals.shared(spark.createDataFrame(rows, "id long, s double, e double"), 3.0, merge).collect()
+            assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert max(ids) <= 10
+
+
+def test_duplicates_of_copies_have_their_own_shares(spark, monkeypatch):
+    from cuewright.operators import reels
+
+    rows, ids = _taped(30), _ids_met(monkeypatch)
+    tapes, met = _met(rows, True)
+    whole = lambda i: sum(e - s for s, e in tapes[i])
+    want = set()
+    for (a, b), own in met.items():
+        seconds, late = sum(e - s for s, e in own), max(e for _, e in own)
+        s, e = max(own, key=lambda x: (x[1] - x[0], -x[0]))
+        if seconds > 1.0:
+            want.add((a, b, seconds, len(own), round(100 * seconds / whole(a), 6), round(100 * seconds / whole(b), 6), s, e, all(late > tapes[i][-1][1] - 2.0 for i in (a, b))))
+    got = reels.duplicates(spark.createDataFrame(rows, "id long, s double, e double"), 3.0, 1.0, 2.0).collect()
+    assert len(got) == len(want) and {(*r[:4], round(r["share_a"], 6), round(r["share_b"], 6), *r[6:]) for r in got} == want
+    assert max(ids) <= 10
+
+
+def test_points_meet_one_range_each(spark, sf):
+    rng = random.Random(3)
+    at = lambda: rng.randrange(-30, 60) * 0.5  # noqa: E731  many are equal or touch
+    ranges = [(rng.randrange(40), *sorted((at(), at()))) for _ in range(60)]
+    ranges = list({(i, s): (i, s, e) for i, s, e in ranges}.values())
+    points = [(n, at() + rng.choice((0.0, 0.25))) for n in range(200)] + [(200, None)]
+    numbered = list(enumerate(sorted(ranges, key=lambda r: (r[1], r[0])), 1))
+    want = {(p, *next((n, t - s) for n, (_, s, e) in numbered if s <= t <= e)) for p, t in points if t is not None and any(s <= t <= e for _, s, e in ranges)}
+    for width in (0.7, 3.0, 1000.0):
+        got = intervals.first_holding(spark.createDataFrame(points, "p long, t double"), spark.createDataFrame(ranges, "id long, s double, e double"), width).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert "Generate" not in plan(plans.queries()["j6_point_in_interval"](spark, sf))  # no range is dealt to all the hours that it fills
+
+
+def test_gaps_read_islands_once(spark, sf):
+    rng = random.Random(8)
+    at = lambda: rng.randrange(-20, 40) * 0.5
+    holes = [(rng.randrange(30), *sorted((at(), at()))) for _ in range(90)]
+    spans = [(i, *sorted((at(), at()))) for i in range(35)] + [(None, 0.0, 9.0)]
+    want = set()
+    for i, lo, hi in spans:
+        edge = lo
+        for s, e in [*_merged((s, e) for k, s, e in holes if k == i and e > s and s < hi and e > lo), (hi, hi)]:
+            if min(s, hi) > edge:
+                want.add((i, edge, min(s, hi)))
+            edge = max(edge, e)
+    kind = "id long, s double, e double"
+    got = intervals.gaps(spark.createDataFrame(spans, kind), spark.createDataFrame(holes, kind)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    text = plan(plans.queries()["u3_subtract"](spark, sf))
+    assert text.count("Join") == 1 and "Union" not in text
