@@ -203,9 +203,11 @@ def accent(card: Column, least: float = 2.0) -> Column:
 
 def bare(text: Column) -> Column:
     """Without links, tags and handles."""
+    out = text
     for pattern in (URL, HASHTAG, MENTION):
-        text = F.regexp_replace(text, pattern, " ")
-    return text
+        out = F.regexp_replace(out, pattern, " ")
+    # most texts have none of their marks, and a mark is found faster than a pattern
+    return F.when(text.contains("#") | text.contains("@") | text.contains("://") | text.contains("www."), out).otherwise(text)
 
 
 def bare_words(text: Column) -> Column:

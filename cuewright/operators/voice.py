@@ -8,12 +8,14 @@ from counts of lengths.
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import captions as C
 from ..functions import speech as X
+from .grouped import settle
 
 #: Persons spoken of; what makes a figure thin; what a line may not open a caption with.
 PERSONS = {"i_me_my": ["i", "me", "my", "mine", "myself"], "we_us_our": ["we", "us", "our", "ours"], "you_your": ["you", "your", "yours", "yourself"]}
@@ -22,13 +24,26 @@ LEANS = r"(?i)^\s*(?:he|she|it|they|them|this|that|these|those|and|but|so|becaus
 SKIPPED = r"(?i)^\s*(?:um+|uh+|er+|yeah|right|okay|ok|i mean|you know|sort of|kind of|anyway)" + X.RIGHT + r"[\s,]*$"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]"
 LONG, SHORT, ROOM = 25, 8, 1.35
+#: Figures of voices are broadcast up to this many.
+FIGURES = 200_000
+
+
+def _beyond_ascii(text: Column) -> Column:
+    """Some character takes more than one byte."""
+    return F.octet_length(text) > F.length(text)
+
+
+def _times(text: Column, pattern: str, *marks: str) -> Column:
+    """How often the pattern stands in the text; each of its matches holds one of the marks, which are found faster."""
+    return F.when(reduce(or_, [text.contains(m) for m in marks]), F.regexp_count(text, F.lit(pattern))).otherwise(F.when(text.isNotNull(), 0))
 
 
 def sentences(samples: DataFrame) -> DataFrame:
     """by, sample, n (from 0), last, sent, mark (its closing marks), n_words, opens: sentences that hold a word."""
     parts = F.split("text", r"(?<=[.!?…])\s+|\n+")
     rows = samples.select("by", "sample", F.posexplode(parts).alias("p", "raw"))
-    rows = rows.withColumn("sent", F.trim(F.regexp_replace(F.regexp_replace(C.bare(F.col("raw")), EMOJI, " "), r"^\s+|\s+$", "")))
+    rows = rows.withColumn("sent", C.bare(F.col("raw"))).withColumn("sent", F.when(_beyond_ascii(F.col("sent")), F.regexp_replace("sent", EMOJI, " ")).otherwise(F.col("sent")))
+    rows = rows.withColumn("sent", F.trim(F.regexp_replace("sent", r"^\s+|\s+$", "")))
     own = rows.withColumn("w", F.regexp_extract_all(F.lower("sent"), F.lit(r"[a-z][a-z'\-]*"), F.lit(0))).where(F.size("w") > 0)
     w = Window.partitionBy("by", "sample").orderBy("p")
     return own.select("by", "sample", (F.row_number().over(w) - 1).alias("n"), F.lead("p").over(w).isNull().alias("last"), "sent", F.regexp_extract("sent", r"([.!?…]+)[\"')\]]*$", 1).alias("mark"), F.size("w").alias("n_words"), F.get("w", F.lit(0)).alias("opens"))
@@ -37,12 +52,13 @@ def sentences(samples: DataFrame) -> DataFrame:
 def counted(samples: DataFrame, profanity: str | None = None) -> DataFrame:
     """by and the sums of each sample: words, contractions and chances, emoji, profanity, tags, handles, links, persons."""
     t = F.col("text")
-    own = C.bare_words(t)
+    own = F.col("own")
     rude = F.regexp_count(F.lower(t), F.lit(X.bounded(profanity))) if profanity else F.lit(0)
     among = lambda values: F.size(F.filter(own, lambda w: w.isin(values)))
-    return samples.select(
-        "by", "sample", F.size(own).alias("words"), C.contractions(t).alias("contracted"), C.long_forms(t).alias("written_out"), F.regexp_count(t, F.lit(EMOJI)).alias("emoji"), rude.alias("profanity"),
-        F.regexp_count(t, F.lit(C.HASHTAG)).alias("hashtags"), F.regexp_count(t, F.lit(C.MENTION)).alias("mentions"), F.regexp_count(t, F.lit(C.URL)).alias("links"), *[among(v).alias(k) for k, v in PERSONS.items()],
+    # a column of its own, so that the words of a text are looked for once
+    return samples.withColumn("own", C.bare_words(t)).select(
+        "by", "sample", F.size(own).alias("words"), C.contractions(t).alias("contracted"), C.long_forms(t).alias("written_out"), F.when(_beyond_ascii(t), F.regexp_count(t, F.lit(EMOJI))).otherwise(F.when(t.isNotNull(), 0)).alias("emoji"), rude.alias("profanity"),
+        _times(t, C.HASHTAG, "#").alias("hashtags"), _times(t, C.MENTION, "@").alias("mentions"), _times(t, C.URL, "://", "www.").alias("links"), *[among(v).alias(k) for k, v in PERSONS.items()],
     )
 
 
@@ -52,10 +68,17 @@ def profile(samples: DataFrame, profanity: str | None = None) -> DataFrame:
     Blocks: built_from, sentence_length, sample_length, contractions, punctuation, opening (shape of a sample's first
     sentence, share of samples), closing (how its last one lands), emoji, profanity, marks, persons (per 1000 words).
     """
-    per_sample, sents = counted(samples, profanity), sentences(samples)
+    samples = samples.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), "by", "sample")  # whole texts move once
     s = F.sum
-    wide = per_sample.groupBy("by").agg(F.count("*").alias("samples"), s("words").alias("words"), *[s(c).alias(c) for c in ("contracted", "written_out", "emoji", "profanity", "hashtags", "mentions", "links", *PERSONS)], F.count_if(F.col("emoji") > 0).alias("with_emoji"), F.count_if(F.col("profanity") > 0).alias("with_profanity"))
-    said = sents.groupBy("by").agg(F.count("*").alias("sentences"), F.count_if(F.col("mark").contains("?")).alias("questions"), F.count_if(F.col("mark").contains("!")).alias("exclamations"), F.count_if(F.col("mark") == "").alias("unpunctuated"), F.count_if(F.col("n_words") < SHORT).alias("under_8"), F.count_if(F.col("n_words") > LONG).alias("over_25"), F.count_distinct("opens").alias("openers"))
+    # every text and sentence is looked at once; what follows reads a row for each kind of them
+    sums_of = ("contracted", "written_out", "emoji", "profanity", "hashtags", "mentions", "links", *PERSONS)
+    per_sample = settle(counted(samples, profanity).groupBy("by", "words").agg(F.count("*").alias("k"), *[s(c).alias(c) for c in sums_of], F.count_if(F.col("emoji") > 0).alias("with_emoji"), F.count_if(F.col("profanity") > 0).alias("with_profanity")))
+    shape = F.filter(C.opening_shapes(F.col("sent")), lambda x: (x != "question") | F.col("mark").contains("?") | F.col("sent").rlike(r"(?i)^\s*(?:how|what|why|when|where|who|which)" + X.RIGHT))
+    kinds = sentences(samples).select("by", "n_words", "opens", F.col("mark").contains("?").alias("asks"), F.col("mark").contains("!").alias("cries"), (F.col("mark") == "").alias("open"), F.when(F.col("n") == 0, shape).alias("shapes"), F.when(F.col("last"), C.closing(F.col("sent"))).alias("closing"), "last")
+    sents = settle(kinds.groupBy(*kinds.columns).agg(F.count("*").alias("k")))
+    having = lambda c: s(F.when(c, F.col("k")).otherwise(0))
+    wide = per_sample.groupBy("by").agg(s("k").alias("samples"), s(F.col("words").cast("long") * F.col("k")).alias("words"), *[s(c).alias(c) for c in (*sums_of, "with_emoji", "with_profanity")])
+    said = sents.groupBy("by").agg(s("k").alias("sentences"), having(F.col("asks")).alias("questions"), having(F.col("cries")).alias("exclamations"), having(F.col("open")).alias("unpunctuated"), having(F.col("n_words") < SHORT).alias("under_8"), having(F.col("n_words") > LONG).alias("over_25"), F.count_distinct("opens").alias("openers"))
     both = wide.join(said, "by", "left").na.fill(0)
     chances = F.col("contracted") + F.col("written_out")
     per = lambda c, n: F.round(F.col(c) / F.when(n > 0, n), 3)
@@ -70,17 +93,16 @@ def profile(samples: DataFrame, profanity: str | None = None) -> DataFrame:
         *[("persons", k, F.round(1000 * F.col(k) / F.when(n_words > 0, n_words), 1), n_words) for k in PERSONS],
     ]
     sums = both.select("by", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.lit(k).alias("name"), v.cast("double").alias("value"), m.cast("long").alias("n")) for b, k, v, m in figures])).alias("f")).select("by", "f.*")
-    lengths = [_quantiles(sents.select("by", F.col("n_words").alias("v")), "sentence_length"), _quantiles(per_sample.select("by", F.col("words").alias("v")), "sample_length")]
-    first, last = sents.where("n = 0"), sents.where("last")
-    shape = F.filter(C.opening_shapes(F.col("sent")), lambda x: (x != "question") | F.col("mark").contains("?") | F.col("sent").rlike(r"(?i)^\s*(?:how|what|why|when|where|who|which)" + X.RIGHT))
-    opening = _shares(first.select("by", F.explode(shape).alias("name")), samples, "opening")
-    closing = _shares(last.select("by", C.closing(F.col("sent")).alias("name")), samples, "closing")
+    lengths = [_quantiles(sents.select("by", F.col("n_words").alias("v"), "k"), "sentence_length"), _quantiles(per_sample.select("by", F.col("words").alias("v"), "k"), "sample_length")]
+    of = per_sample.groupBy("by").agg(s("k").alias("n"))
+    opening = _shares(sents.where("shapes is not null").select("by", F.explode("shapes").alias("name"), "k"), of, "opening")
+    closing = _shares(sents.where("last").select("by", F.col("closing").alias("name"), "k"), of, "closing")
     return reduce(DataFrame.unionByName, [sums, *lengths, opening, closing])
 
 
 def _quantiles(values: DataFrame, block: str) -> DataFrame:
-    """Exact quantiles with linear interpolation, from counts of each value."""
-    counts = values.groupBy("by", "v").agg(F.count("*").alias("k"))
+    """Exact quantiles with linear interpolation, from counts (k) of each value."""
+    counts = values.groupBy("by", "v").agg(F.sum("k").alias("k"))
     upto = F.sum("k").over(Window.partitionBy("by").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumns({"upto": upto, "n": F.sum("k").over(Window.partitionBy("by"))})
     asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in (("min", 0.0), ("p10", 0.1), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("max", 1.0))])).alias("a")
@@ -91,9 +113,8 @@ def _quantiles(values: DataFrame, block: str) -> DataFrame:
     return out.select("by", F.lit(block).alias("block"), "name", F.round(F.col("x") + (F.col("y") - F.col("x")) * F.col("part"), 1).cast("double").alias("value"), F.col("n").cast("long").alias("n"))
 
 
-def _shares(names: DataFrame, samples: DataFrame, block: str) -> DataFrame:
-    n = samples.groupBy("by").agg(F.count("*").alias("n"))
-    return names.groupBy("by", "name").agg(F.count("*").alias("k")).join(n, "by").select("by", F.lit(block).alias("block"), "name", F.round(F.col("k") / F.col("n"), 3).alias("value"), F.col("n").cast("long").alias("n"))
+def _shares(names: DataFrame, of: DataFrame, block: str) -> DataFrame:
+    return names.groupBy("by", "name").agg(F.sum("k").alias("k")).join(of, "by").select("by", F.lit(block).alias("block"), "name", F.round(F.col("k") / F.col("n"), 3).alias("value"), F.col("n").cast("long").alias("n"))
 
 
 def over_used(samples: DataFrame, reference: DataFrame, top: int = 14, least: int = 3, uses: int = 4) -> DataFrame:
@@ -130,11 +151,15 @@ def drafts(moments: DataFrame, voices: DataFrame, verdicts: DataFrame | None = N
     points = F.coalesce("points", F.lit(0.0)) if verdicts is not None else F.lit(0.0)
     may = F.col("words").between(4, 30) & ~F.col("sent").rlike(LEANS)
     worth = points / 4 + 1 - F.col("n") / F.col("m") + F.when(F.col("words") <= 14, 1.0).otherwise(0.0)
-    best = rows.where(may).groupBy("id").agg(F.max(F.struct(F.round(worth, 9).alias("worth"), (-F.col("n")).alias("n"))).alias("b")).select("id", (-F.col("b.n")).alias("opener"))
+    best = F.max(F.when(may, F.struct(F.round(worth, 9).alias("worth"), (-F.col("n")).alias("n")))).over(Window.partitionBy("id"))
     figure = lambda block, name, value: voices.where((F.col("block") == block) & (F.col("name") == name)).select("by", F.col("value").alias(value))
+    voices = settle(voices)  # some figures of each voice
     wanted = figure("sample_length", "median", "median")
     lands = voices.where("block = 'closing'").groupBy("by").agg(F.min_by("name", F.struct(-F.col("value"), "name")).alias("lands"))
-    run = rows.join(best, "id").where("n >= opener").join(wanted, "by", "left").join(lands, "by", "left")
+    usual = wanted.join(lands, "by", "full")
+    if voices.limit(FIGURES + 1).count() <= FIGURES:  # so the sentences need not move to meet them
+        usual = F.broadcast(usual)
+    run = rows.withColumn("opener", -best["n"]).where("n >= opener").join(usual, "by", "left")
     carries = (F.col("n") == F.col("opener")) | ((F.col("words") >= 2) & ~F.col("sent").rlike(SKIPPED))
     w = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     run = run.where(carries).withColumn("upto", F.sum("words").over(w))

@@ -214,3 +214,15 @@ def test_gaps_read_islands_once(spark, sf):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     text = plan(plans.queries()["u3_subtract"](spark, sf))
     assert text.count("Join") == 1 and "Union" not in text
+
+
+def test_voices_look_at_each_text_once(spark):
+    from cuewright.operators import voice
+
+    rows = [("a", n, f"Do you see #{n} of it? I don't. It is {n} @you www.x.org 😀") for n in range(30)] + [("b", 99, "")]
+    own = spark.createDataFrame(rows, "by string, sample long, text string")
+    made = voice.profile(own, "damn")
+    assert "regexp" not in plan(made)  # what follows reads counts
+    got = {(r["by"], r["block"], r["name"]): r["value"] for r in made.collect()}
+    assert [got["a", b, n] for b, n in (("built_from", "samples"), ("built_from", "sentences"), ("marks", "hashtags"), ("marks", "mentions"), ("marks", "links"), ("emoji", "uses"))] == [30, 90, 1, 1, 1, 30]
+    assert got["a", "closing", "fragment_like"] == 1 and ("b", "closing", "statement") not in got and got["b", "built_from", "words"] == 0
