@@ -20,16 +20,24 @@ GAP, PAIR_FLOOR, NEAR, FAR, APART = -0.45, 0.40, 1.0, 8.0, 24.0
 def longest_runs(pairs: DataFrame) -> DataFrame:
     """id, size, at_a, at_b: the longest unbroken run of words of a that b holds too; of runs of one size the first in a, then in b.
 
-    Equal words meet by a join, so a pair's work is the number of its equal words; runs are islands on the diagonals
-    of their places. Pairs without a common word have size 0 and no places.
+    Each pair is looked at where it lies, batch by batch. Pairs without a common word have size 0 and no places.
     """
-    side = lambda c, at: pairs.select("id", F.posexplode(c).alias(at, "word"))
-    met = side("a", "p").join(side("b", "q"), ["id", "word"]).select("id", "p", (F.col("p") - F.col("q")).alias("d"))
-    island = F.col("p") - F.row_number().over(Window.partitionBy("id", "d").orderBy("p"))
-    runs = met.withColumn("g", island).groupBy("id", "d", "g").agg(F.count("*").alias("size"), F.min("p").alias("p"))
-    best = F.max(F.struct("size", (-F.col("p")).alias("a"), (F.col("d") - F.col("p")).alias("b")))
-    found = runs.groupBy("id").agg(best.alias("x")).select("id", "x.size", (-F.col("x.a")).alias("at_a"), (-F.col("x.b")).alias("at_b"))
-    return pairs.select("id").join(found, "id", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+
+    def run(batches):
+        import difflib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = a or [], b or []
+                at = difflib.SequenceMatcher(None, a, b, False).find_longest_match(0, len(a), 0, len(b))
+                found.append((at.size, at.a, at.b) if at.size else (0, None, None))
+            made = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *made], names=["id", "size", "at_a", "at_b"])
+
+    return pairs.select("id", "a", "b").mapInArrow(run, f"id {dict(pairs.dtypes)['id']}, size bigint, at_a int, at_b int")
 
 
 def edits(pairs: DataFrame, junk: bool = True) -> DataFrame:

@@ -52,9 +52,12 @@ def _placed(s, d):
 
 def neighbours(s, d):
     """id (rec, n), a, b: the words of each sentence of a document and of the one after it."""
-    sents = planning.sentences_of_documents(s, d)
-    own = sents.select(F.struct("rec", "n").alias("id"), C.tokens(F.col("text")).alias("a"), F.lead("text").over(Window.partitionBy("rec").orderBy("n")).alias("next"))
-    return own.where("next is not null").select("id", "a", C.tokens(F.col("next")).alias("b"))
+    # they stand side by side in their document already; a number of its own, for their looking costs more than their bytes
+    n = int(s.conf.get("spark.sql.shuffle.partitions"))
+    docs = planning.split_documents(s, d).repartition(n, "rec").select("rec", F.transform("sents", lambda x: C.tokens(x)).alias("t"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.struct(i.alias("n"), F.get("t", i).alias("a"), F.get("t", i + 1).alias("b")))
+    own = docs.where(F.size("t") > 1).select("rec", F.explode(pairs).alias("x"))
+    return own.select(F.struct("rec", "x.n").alias("id"), "x.a", "x.b")
 
 
 def _long_lines(s, d):
