@@ -226,3 +226,17 @@ def test_voices_look_at_each_text_once(spark):
     got = {(r["by"], r["block"], r["name"]): r["value"] for r in made.collect()}
     assert [got["a", b, n] for b, n in (("built_from", "samples"), ("built_from", "sentences"), ("marks", "hashtags"), ("marks", "mentions"), ("marks", "links"), ("emoji", "uses"))] == [30, 90, 1, 1, 1, 30]
     assert got["a", "closing", "fragment_like"] == 1 and ("b", "closing", "statement") not in got and got["b", "built_from", "words"] == 0
+
+
+def test_neighbours_do_not_move(spark, sf):
+    for name in ("m5_longest_run", "m6_edits", "f23_typed_words"):
+        text = plan(plans.queries()[name](spark, sf))
+        assert "Window" not in text and ("Join" not in text or name == "f23_typed_words"), name
+
+
+def test_swallowed_words_next_to_numbers(spark):
+    from cuewright.operators import titles
+
+    texts = spark.createDataFrame([(1, "$5 dollars dollars 40 percent usd 7 and 3. 9 pct! 2000 dollars"), (2, None)], "id long, text string")
+    got = [(r["sent"], r["pos"], r["norm"], r["kind"]) for r in titles.typed_words(texts).orderBy("sent", "pos").collect()]
+    assert got == [(0, 0, "5", "number"), (0, 1, "dollars", "content"), (0, 2, "40-percent", "number"), (0, 3, "usd", "content"), (0, 4, "7", "number"), (0, 5, "and", "glue"), (0, 6, "", "reject"), (1, 0, "9-percent", "number"), (2, 0, "2k", "number")]
