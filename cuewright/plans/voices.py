@@ -23,12 +23,17 @@ def reference(s, d):
     return said.join(F.broadcast(said.agg(F.sum("k").alias("all")))).where("k >= 20").select("word", (F.col("k") * 1_000_000 / F.col("all")).alias("per_million"))
 
 
-def _drafts(s, d):
+def _drafts(s, d, known=None):
     own = samples(s, d)
-    made = voice.drafts(own.select(F.col("sample").alias("id"), "by", "text"), voice.profile(own))
+    made = voice.drafts(own.select(F.col("sample").alias("id"), "by", "text"), known or voice.profile(own))
     return made.join(own.select(F.col("sample").alias("id"), "by"), "id")
 
 
+def _drift(s, d):
+    known = voice.profile(samples(s, d))
+    return voice.drift(_drafts(s, d, known), known)
+
+
 _BARE = "lower(" + "".join("regexp_replace(" for _ in range(3)) + "text" + "".join(f", '{_q(p)}', ' ', 'g')" for p in (C.URL, C.HASHTAG, C.MENTION)) + ")"
 WORDS = rf"w AS (SELECT coalesce(source, '?') AS who, doc_id, unnest(regexp_extract_all({_BARE}, '[a-z][a-z''\-]*')) AS word FROM documents WHERE text IS NOT NULL)"
 QUERIES = {
@@ -41,7 +46,7 @@ QUERIES = {
         y AS (SELECT *, CAST(row_number() OVER (PARTITION BY who, lift IS NULL ORDER BY lift DESC, CASE WHEN lift IS NULL THEN in_samples END DESC, uses DESC, word) AS INT) AS place FROM x) SELECT who AS "by", word, uses, in_samples, lift, place FROM y WHERE place <= 14""",
     ),
     "t11_drafts": (lambda s, d: _drafts(s, d).select("id", "by", F.array_join("lines", " ").alias("draft"), "n_words", "opener", "ends_right", "n_filler"), None),
-    "a26_drift": (lambda s, d: voice.drift(_drafts(s, d), voice.profile(samples(s, d))), None),
+    "a26_drift": (_drift, None),
 }
 
 
