@@ -240,3 +240,17 @@ def test_swallowed_words_next_to_numbers(spark):
     texts = spark.createDataFrame([(1, "$5 dollars dollars 40 percent usd 7 and 3. 9 pct! 2000 dollars"), (2, None)], "id long, text string")
     got = [(r["sent"], r["pos"], r["norm"], r["kind"]) for r in titles.typed_words(texts).orderBy("sent", "pos").collect()]
     assert got == [(0, 0, "5", "number"), (0, 1, "dollars", "content"), (0, 2, "40-percent", "number"), (0, 3, "usd", "content"), (0, 4, "7", "number"), (0, 5, "and", "glue"), (0, 6, "", "reject"), (1, 0, "9-percent", "number"), (2, 0, "2k", "number")]
+
+
+def test_names_stay_with_their_text(spark, monkeypatch):
+    from cuewright.operators import titles
+
+    texts = spark.createDataFrame([(n, f"Word{n % 3} prices rise again in spring, 40 percent of markets. The market {'fell' if n % 2 else 'rose'} on word{n}.") for n in range(12)] + [(99, None)], "id long, text string").repartition(3)
+    want = [tuple(r) for r in titles.candidates(texts).groupBy("id").agg({"name": "count"}).orderBy("id").collect()]
+    found = titles.listed(texts, best=True)
+    got = sorted(tuple(r) for r in found.collect())
+    assert [r[:2] for r in got] == want and len(got) == 12
+    for no in ("Window", "Join", "Aggregate"):  # no name and no word moves to be scored
+        assert no not in plan(found)
+    monkeypatch.setattr(titles, "VOCABULARY", 2)  # other stems of two texts or more come with their text
+    assert sorted(tuple(r) for r in titles.listed(texts, best=True).collect()) == got
