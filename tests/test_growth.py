@@ -254,3 +254,18 @@ def test_names_stay_with_their_text(spark, monkeypatch):
         assert no not in plan(found)
     monkeypatch.setattr(titles, "VOCABULARY", 2)  # other stems of two texts or more come with their text
     assert sorted(tuple(r) for r in titles.listed(texts, best=True).collect()) == got
+
+
+def test_names_are_given_out_without_all_options_of_all_texts(spark, monkeypatch):
+    from cuewright.operators import titles
+
+    said = ["Stop buying the coaching program. Price the whole life first.", "Price the whole life. Read the fine print twice.", "um", None]
+    texts = spark.createDataFrame([(n, said[n % 4]) for n in range(24)], "id long, text string")
+    asked, free, words, typed = [], titles.free, [], titles.typed_words
+    monkeypatch.setattr(titles, "free", lambda df, held: asked.append(df.columns) or free(df, held))
+    monkeypatch.setattr(titles, "typed_words", lambda df: words.append(sorted(r["id"] for r in df.select("id").collect())) or typed(df))
+    got = {r["id"]: r["name"] for r in titles.assign(titles.listed(texts), texts).collect()}
+    assert len(set(got.values())) == len(got) == 24
+    assert words and all(set(w) < set(range(24)) for w in words)  # only texts without a free phrase are read again
+    monkeypatch.setattr(titles, "BLOCKS", [0, 2, 3])
+    assert {r["id"]: r["name"] for r in titles.assign(titles.candidates(texts), texts).collect()} == got
