@@ -269,3 +269,10 @@ def test_names_are_given_out_without_all_options_of_all_texts(spark, monkeypatch
     assert words and all(set(w) < set(range(24)) for w in words)  # only texts without a free phrase are read again
     monkeypatch.setattr(titles, "BLOCKS", [0, 2, 3])
     assert {r["id"]: r["name"] for r in titles.assign(titles.candidates(texts), texts).collect()} == got
+
+
+def test_clips_are_not_sent_to_the_driver(spark, sf):
+    # a table that clips' pairs of tokens were exploded from looks small, whatever the shelf
+    found = plan(plans.queries()["t6_scores"](spark, sf))
+    joins = [x for x in found.splitlines() if "Join" in x and ("pair#" in x or "key#" in x and "word#" in x)]
+    assert joins and all("strategy=merge" in x for x in joins)
