@@ -276,3 +276,20 @@ def test_clips_are_not_sent_to_the_driver(spark, sf):
     found = plan(plans.queries()["t6_scores"](spark, sf))
     joins = [x for x in found.splitlines() if "Join" in x and ("pair#" in x or "key#" in x and "word#" in x)]
     assert joins and all("strategy=merge" in x for x in joins)
+
+
+def test_beats_meet_the_longest_clips_of_a_token_only(spark, monkeypatch):
+    from cuewright.operators import shelf as S
+
+    rng = random.Random(3)
+    words = ["market", "river", "bridge", "harbour"]
+    clips = [(f"c{n:03}", rng.choice([*words, "market river", None]), [rng.choice(words)], rng.choice([0.8, 1.5, 2.0, 4.0, 6.0]), None, True) for n in range(90)]
+    kept = spark.createDataFrame(clips, "id string, label string, keywords array<string>, duration double, problem string, usable boolean")
+    says = [(b, p, k, k * 3.0, k * 3.0 + 3.0, " ".join(rng.sample(words, rng.randrange(3)))) for b in range(3) for p in (2 * b, 2 * b + 1) for k in range(1, 6)]
+    beats = spark.createDataFrame(says, "batch long, piece long, beat int, start double, end double, text string")
+    named, heads = S._named(beats, kept, S.usable(kept).where("why is null").select("id", "duration"), 4)
+    assert all(len(x) <= 4 for own in heads.values() for x in own.values()) and set(heads) == set(words)
+    assert all(len(m["tokens"]) > 1 for r in named.collect() for m in r["met"] or [])  # a clip of one token comes once, not with each beat
+    got = sorted(map(tuple, S.layers(beats, kept).collect()))
+    monkeypatch.setattr(S, "HEADS", 0)
+    assert got and sorted(map(tuple, S.layers(beats, kept).collect())) == got
